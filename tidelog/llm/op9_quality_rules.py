@@ -62,7 +62,7 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """The input's rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the other features.
+    """The input's rows with _at, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the other features.
 
     Five-word windows are compared by a 64-bit hash within one text.
     """
@@ -95,6 +95,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         "n_lines": long(F.size("_lines")),
         "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
         "n_repeat_words": long(F.when(F.col("_any"), covered)),
+        # A filter on statistics that also names this column stays above them; pushed below, it would work them out again.
+        "_at": F.monotonically_increasing_id(),
     })
     return found.drop("_words", "_lines", "_grams", "_any", "_ranked", "_starts")
 
@@ -166,8 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list[R
     )
     # The sample is bounded by ``most`` rows of two numbers, so it may be broadcast.
     taken = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    shown = statistics(taken).where(~base_failed())
-    rows = shown.select("quality", *[c.alias(n) for n, c in features().items()], F.xxhash64("doc_id").alias("_h")).orderBy("_h").collect()
+    shown = statistics(taken).select("doc_id", "quality", base_failed().alias("failed"), *[c.alias(n) for n, c in features().items()])
+    rows = sorted((r for r in shown.collect() if not r["failed"]), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15) % 2**64)
     if not rows:
         return []
     names = list(features())
@@ -192,7 +194,7 @@ def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
     rules = fit(docs, labels)
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
-    return judged(plain, rules).where("kept").select("_row.*")
+    return judged(plain, rules).where("kept and _at >= 0").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
