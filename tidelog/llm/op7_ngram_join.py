@@ -122,7 +122,7 @@ def link(sets: list[np.ndarray], measure: Measure) -> np.ndarray:
     lists, at = owner[by_token], np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(tokens)))])
     mine = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
     n = sizes[order]
-    able = np.diff(mine) >= measure.least_overlap(n)
+    able = (n > 0) & (np.diff(mine) >= measure.least_overlap(n))
     label = np.arange(len(sets))  # by place in order of size
     for x in np.flatnonzero(able).tolist():
         low = int(np.searchsorted(n, measure.least_overlap(int(n[x]))))
