@@ -39,6 +39,8 @@ FREQUENT_IN_BATCH = 3
 #: Sets and shingles of a chunk at most, about.
 CHUNK_SETS = 2048
 CHUNK_SHINGLES = 2_000_000
+#: A binary probe costs about this many steps of a merge.
+_PROBE_COST = 32
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -117,40 +119,45 @@ def link(sets: list[np.ndarray], measure: Measure) -> np.ndarray:
     tokens, codes, df = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
     shared = df[codes] > 1
     owner, codes = owner[shared], codes[shared]
-    # Inverted lists: sets by token, in order of size.
-    by_token = np.argsort(codes, kind="stable")
-    lists, at = owner[by_token], np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(tokens)))])
-    mine = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
+    # Inverted lists: sets by token in order of size, all in one sorted array, so one search probes many lists.
+    m = len(sets)
+    entries = np.sort(codes * m + owner)
+    mine = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=m))])
     n = sizes[order]
     able = (n > 0) & (np.diff(mine) >= measure.least_overlap(n))
-    label = np.arange(len(sets))  # by place in order of size
     for x in np.flatnonzero(able).tolist():
         low = int(np.searchsorted(n, measure.least_overlap(int(n[x]))))
         if low >= x:
             continue
         need = int(measure.overlap(int(n[x]), int(n[low])))
         own = codes[mine[x] : mine[x + 1]]
-        spans = [lists[at[c] : at[c + 1]] for c in own[np.argsort(df[own], kind="stable")].tolist()]
-        spans = [s[np.searchsorted(s, low) : np.searchsorted(s, x)] for s in spans]
-        long = min(need - 1, int(need / (1 + 0.01 * np.log2(1 + max(map(len, spans))))))
-        short, probed = spans[: len(spans) - long], spans[len(spans) - long :]
-        merged = np.concatenate(short) if short else np.empty(0, np.int64)
-        if not len(merged):
-            continue
+        begin, end = np.searchsorted(entries, own * m + low), np.searchsorted(entries, own * m + x)
+        length = end - begin
+        by_length = np.argsort(length, kind="stable")
+        own, begin, length = own[by_length], begin[by_length], length[by_length]
+        # DivideSkip: up to need - 1 of the longest lists may be probed; merging them all is the
+        # cheaper way where the short lists already name many sets.
+        long = min(need - 1, len(own))
+        if int(length[: len(own) - long].sum()) * long * _PROBE_COST > int(length.sum()):
+            long = 0
+        short, probed = slice(0, len(own) - long), own[len(own) - long :]
+        index = np.repeat(begin[short] - (np.cumsum(length[short]) - length[short]), length[short])
+        merged = entries[index + np.arange(len(index))] % m
         counts = np.bincount(merged - low, minlength=x - low)
-        found = np.flatnonzero((counts >= max(1, need - long)) & able[low:x])
+        wanted = measure.overlap(int(n[x]), n[low:x])
+        found = np.flatnonzero((counts > 0) & (counts >= wanted - long) & able[low:x])
         found = found[np.argsort(-counts[found], kind="stable")]
         while True:
             found = found[label[found + low] != label[x]]
             if not len(found):
                 break
-            some, found = found[:32], found[32:]
-            total = counts[some].copy()
-            for s in probed:
-                if len(s):
-                    place = np.minimum(np.searchsorted(s, some + low), len(s) - 1)
-                    total += s[place] == some + low
-            for y in (some[total >= measure.overlap(int(n[x]), n[some + low])] + low).tolist():
+            some, found = found[:64], found[64:]
+            total = counts[some]
+            if long:
+                keys = probed[None, :] * m + (some + low)[:, None]
+                place = np.minimum(np.searchsorted(entries, keys), len(entries) - 1)
+                total = total + (entries[place] == keys).sum(axis=1)
+            for y in (some[total >= wanted[some]] + low).tolist():
                 a, b = sorted((label[x], label[y]))
                 label[label == b] = a
     # Back to the given order, each component named by its least index.
