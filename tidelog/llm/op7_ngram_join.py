@@ -2,9 +2,9 @@
 
 1. Every text becomes its set of word shingles, as 64-bit hashes. Documents of equal sets are one
    class, named by its least doc_id.
-2. A pair that links shares one of the rarest shingles of both sets (the prefix filter), so documents
-   that share one are put into one candidate cluster. Frequent shingles come last in the order of
-   rarity; which ones are frequent is counted in the tasks, and changes only what is tried.
+2. A pair that links shares some of the rarest shingles of both sets (the prefix filter); pairs that
+   do are put into one candidate cluster. Frequent shingles come last in the order of rarity; which
+   ones are frequent is counted in the tasks, and changes only what is tried.
 3. Clusters are solved apart: inverted lists of the cluster's sets, the short ones merged, the long
    ones probed by binary search (DivideSkip), documents kept that reach the required overlap. Pairs
    already connected are not tried again, so a group of copies costs no square of its size. A cluster
@@ -33,9 +33,13 @@ from tidelog.llm.components import components
 
 BATCH_BYTES = 8 << 20
 #: Shingles at most that count as frequent, those of the highest counts: their order is sent to tasks.
-MOST_FREQUENT = 1 << 17
-FREQUENT = 24
-FREQUENT_IN_BATCH = 3
+MOST_FREQUENT = 1 << 19
+FREQUENT = 4
+FREQUENT_IN_BATCH = 2
+#: One more shared shingle is asked of two prefixes for every so many of the smaller set.
+SUPPORT = 20
+#: Documents up to which a shingle names every pair of its documents; beyond, a star.
+PAIRED = 32
 #: Sets and shingles of a chunk at most, about.
 CHUNK_SETS = 2048
 CHUNK_SHINGLES = 2_000_000
@@ -59,6 +63,14 @@ class Measure:
         """Shared shingles at least of a set of n with any partner."""
         return -(-self.percent * n // 100)
 
+    def support(self, n):
+        """How many shared shingles of two prefixes are asked for, by the smaller set's n."""
+        return n // SUPPORT + 1
+
+    def prefix(self, n):
+        """Shingles of a prefix: two linked sets share at least ``support`` of the smaller within their prefixes."""
+        return n - self.least_overlap(n) + self.support(n)
+
     def overlap(self, n: int, m: int | np.ndarray):
         """Shared shingles at least of sets of n and m that link: percent * union <= 100 * shared."""
         return -(-self.percent * (n + m) // (100 + self.percent))
@@ -193,9 +205,12 @@ def classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
 
 
 def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFrame:
-    """(a, b): class hashes f1 that share a shingle of both prefixes, a star for each shingle.
+    """(a, b): class hashes f1 of sets that may link.
 
-    frequent: sorted shingles that come last in the order of rarity.
+    If two sets overlap by t, their first n - t + s shingles in any common order share s or more. So
+    a pair that shares fewer is no candidate. Shingles of up to PAIRED documents count the pairs of
+    these; one of more documents joins them all by a star, whatever they share besides, so that no
+    group's pairs are listed. ``frequent`` are sorted shingles that come last in the order of rarity.
     """
 
     def prefixes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,16 +228,29 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) ->
                 order = np.argsort(doc * 2 + late, kind="stable")
                 flat = flat[order]
             nth = np.arange(len(flat)) - np.repeat(ends[:-1], n)
-            keep = nth < np.repeat(n - measure.least_overlap(n) + 1, n)
+            keep = nth < np.repeat(measure.prefix(n), n)
             # Copies within the block fold before they are dealt out.
-            tok, node = flat[keep].view(np.int64), f1[doc[keep]]
+            tok, node, size = flat[keep].view(np.int64), f1[doc[keep]], n[doc[keep]]
             once = np.unique(mixed(tok.view(np.uint64), 3) + node.view(np.uint64), return_index=True)[1]
-            tok, node = tok[once], node[once]
-            yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(node)], ["tok", "node"])
-
-    rows = docs.mapInArrow(prefixes, "tok long, node long")
-    low = F.min("node").over(W.partitionBy("tok"))
-    return rows.withColumn("a", low).where("node <> a").select("a", F.col("node").alias("b"))
+            yield pa.RecordBatch.from_arrays([pa.array(tok[once]), pa.array(node[once]), pa.array(size[once])], ["tok", "node", "n"])
+
+    rows = docs.mapInArrow(prefixes, "tok long, node long, n long")
+    by_tok = W.partitionBy("tok")
+    rows = rows.withColumn("docs", F.count("*").over(by_tok)).where("docs > 1")
+    after = by_tok.orderBy("node").rowsBetween(1, PAIRED - 1)
+    rows = rows.withColumns({
+        "low": F.min("node").over(by_tok),
+        "near": F.when(F.col("docs") <= PAIRED, F.collect_list(F.struct("node", "n")).over(after)),
+    })
+    # One stored table serves both kinds of edges.
+    rows = common.stored(rows.where("near is null and node <> low or size(near) > 0").select("node", "n", "low", "near"), "prefixes")
+    stars = rows.where("near is null").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    pairs = rows.where("near is not null").select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode("near").alias("o"))
+    small, large = F.least("na", "o.n"), F.greatest("na", "o.n")
+    pairs = pairs.where((F.col("a") != F.col("o.node")) & (small * 100 >= large * measure.percent))
+    pairs = pairs.groupBy("a", F.col("o.node").alias("b")).agg(F.count("*").alias("shared"), F.min(small).alias("small"))
+    pairs = pairs.where(F.col("shared") >= F.floor(F.col("small") / SUPPORT) + 1).select("a", "b")
+    return stars.unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
