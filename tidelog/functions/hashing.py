@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # FNV-1a 64-bit offset basis and the low part of its prime (2^40 + 435).
 FNV_BASIS = 14695981039346656037
@@ -52,7 +53,7 @@ def crc_hex(text: Column) -> Column:
     return F.lpad(F.lower(F.hex(F.crc32(text))), 8, "0")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def xxh64_hex(texts: pd.Series) -> pd.Series:
     """XXH64 with seed 0 as 16 hex digits; Spark's own xxhash64 has another seed."""
     import xxhash

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,23 +46,30 @@ def rotation(lines: DataFrame, rotate_bytes: int) -> DataFrame:
 
 
 def write_active(lines: DataFrame, log_dir: str, prefix: str) -> None:
-    """Write each shard's lines, in order of sequence, to its active segment ``<prefix>-<shard>.log``."""
+    """Write each shard's lines, in order of sequence, as its active segment ``<prefix>-<shard>.log``."""
+    _write(lines, log_dir, lambda shard, k: f"{prefix}-{shard}.log" if k == 0 else f"{prefix}-{shard}.0.{k}.log", False)
+
+
+def write_archive(lines: DataFrame, archive_dir: str, prefix: str, timestamp_ms: int, compress: bool = False) -> None:
+    """Write each shard's lines as archived segments of ``timestamp_ms``; the same names are written over."""
+    end = ".log.gz" if compress else ".log"
+    _write(lines, archive_dir, lambda shard, k: f"{prefix}-{shard}.{timestamp_ms}.{k}{end}", compress)
+
+
+def _write(lines: DataFrame, folder: str, name: Callable[[str, int], str], compress: bool) -> None:
     spark = lines.sparkSession
-    stage = f"{log_dir.rstrip('/')}/_writing"
-    ordered = lines.repartition("shard").sortWithinPartitions("shard", "sequence")
-    ordered.select("shard", "line").write.mode("overwrite").partitionBy("shard").option("lineSep", "\n").text(stage)
+    stage = f"{folder.rstrip('/')}/_writing"
+    ordered = lines.repartition("shard").sortWithinPartitions("shard", "sequence").select("shard", "line")
+    out = ordered.write.mode("overwrite").partitionBy("shard").option("lineSep", "\n")
+    (out.option("compression", "gzip") if compress else out).text(stage)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(stage).getFileSystem(conf)
-    # One rename for each shard; the data stay where the tasks wrote them.
-    for folder in fs.listStatus(path(stage)):
-        name = folder.getPath().getName()
-        if not name.startswith("shard="):
-            continue
-        parts = sorted(f.getPath().toString() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+    # One rename for each shard's file; the data stay where the tasks wrote them.
+    for shard in [f.getPath() for f in fs.listStatus(path(stage)) if f.getPath().getName().startswith("shard=")]:
+        parts = sorted(f.getPath().toString() for f in fs.listStatus(shard) if f.getPath().getName().startswith("part-"))
         for k, part in enumerate(parts):
-            target = f"{prefix}-{name[6:]}.log" if k == 0 else f"{prefix}-{name[6:]}.0.{k}.log"
-            goal = path(f"{log_dir.rstrip('/')}/{target}")
+            goal = path(f"{folder.rstrip('/')}/{name(shard.getName()[6:], k)}")
             fs.delete(goal, False)
             fs.rename(path(part), goal)
     fs.delete(path(stage), True)
