@@ -35,8 +35,8 @@ def appender(config: EngineConfig) -> Callable[[DataFrame, int], None]:
         rows = routing.routed(batch, "route_key", config.shards, points, index=index)
         ends = f"{config.archive_dir}/_offsets"
         before = _ends(spark, ends, batch_id)
-        rows = rows.join(F.broadcast(before), "shard", "left").withColumn("_base", F.coalesce("next_sequence", F.lit(0)))
-        numbered = writer.sequenced(rows.drop("next_sequence"), "n", F.col("_base")).withColumn("timestamp", timestamp_text(F.current_timestamp()))
+        rows = rows.join(F.broadcast(before), "shard", "left").withColumn("_next", F.coalesce("next_sequence", F.lit(0)))
+        numbered = writer.sequenced(rows.drop("next_sequence"), "n", F.col("_next")).withColumn("timestamp", timestamp_text(F.current_timestamp()))
         numbered = numbered.persist()
         writer.write_archive(writer.encoded_lines(numbered, config), config.archive_dir, config.file_prefix, batch_id, config.compress_archives)
         now = numbered.groupBy("shard").agg((F.max("sequence") + 1).alias("next_sequence"))
@@ -54,10 +54,10 @@ def _ends(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/batch={batch_id - 1}")
 
 
-def multiline(lines: DataFrame, key: str, starts: str, most_lines: int, quiet: str = "1 minute") -> DataFrame:
+def multiline(lines: DataFrame, key: str, starts: str, most_lines: int, quiet_ms: int = 60_000) -> DataFrame:
     """key, record: lines of a stream merged until the next that begins with ``starts``, across micro-batches.
 
-    The open record of a key waits in state; it is given out after ``quiet`` without another line.
+    The open record of a key waits in state; it is given out after ``quiet_ms`` without another line.
     """
 
     def merge(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -74,7 +74,7 @@ def multiline(lines: DataFrame, key: str, starts: str, most_lines: int, quiet: s
                     held = []
                 held.append(line)
         state.update((held,))
-        state.setTimeoutDuration(quiet)
+        state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame({key: [name[0]] * len(out), "record": out})
 
     return lines.groupBy(key).applyInPandasWithState(
