@@ -1,5 +1,10 @@
-"""Connected components of a graph given as edges, by contraction: each round every node takes the
-least of itself and its neighbours as its label, and the graph shrinks to its labels."""
+"""Connected components of a graph given as edges, by contraction.
+
+Each round every node takes as its label whichever of itself and its neighbours comes first in a
+hashed order, and the graph shrinks to its labels. The order is unrelated to the ids, so a chain of
+rising ids is no worse than any other: nodes that come before none of their neighbours drop out, a
+good share of all in each round, and rounds grow with the logarithm of the longest path.
+"""
 
 from __future__ import annotations
 
@@ -13,16 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that each node of ``edges`` (a, b, both long) can reach, itself included.
 
     A hub costs no task more than its edges' share: labels are minima with partial aggregation, and
-    the joins are sort-merge joins that Spark may split. Rounds are few, as each at least halves what
-    is left; every round is a stored table. Loops and repeated edges are allowed; null ends are left out.
+    the joins are sort-merge joins that Spark may split. Every round is a stored table. Loops and
+    repeated edges are allowed; edges with a null end are left out.
     """
+    placed = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null").distinct()
     edges = common.stored(edges, "edges")
     labels = None
     while True:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
-        step = both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label"))
-        step = common.stored(step, "labels")
+        first = both.groupBy("node").agg(F.min(placed("near")).alias("m"))
+        step = common.stored(first.select("node", F.least(placed("node"), "m")["id"].alias("label")), "labels")
         if labels is None:
             labels = step
         else:
@@ -35,4 +41,5 @@ def components(edges: DataFrame) -> DataFrame:
         edges = ends.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
         edges = common.stored(edges, "edges")
         if edges.isEmpty():
-            return labels
+            least = labels.groupBy("label").agg(F.min("node").alias("least"))
+            return labels.join(least, "label").select("node", F.col("least").alias("label"))
