@@ -56,3 +56,18 @@ def metrics(line: Column) -> Column:
     names = F.regexp_extract_all(line, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)=(-?[0-9]+(?:\.[0-9]+)?)"), 1)
     values = F.regexp_extract_all(line, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)=(-?[0-9]+(?:\.[0-9]+)?)"), 2)
     return F.map_from_arrays(names, F.transform(values, lambda v: v.cast("double")))
+
+
+# Headers that the sink sets itself.
+RESERVED_HEADERS = ("host", "content-length", "content-type", "connection")
+
+
+def header_valid(line: Column) -> Column:
+    """Whether ``name: value`` is a header that may be added: a token as its name, none of the reserved, no line break."""
+    name = F.lower(F.trim(F.substring_index(line, ":", 1)))
+    return line.rlike("^[!#$%&'*+.^_`|~0-9A-Za-z-]+:[^\\r\\n]*$") & ~name.isin(*RESERVED_HEADERS)
+
+
+def headers(text: Column) -> Column:
+    """Valid headers of a text with one per line, as a map of lower-case names; the last of a name counts."""
+    return key_values(F.array_join(F.transform(F.filter(F.split(text, "\n"), header_valid), lambda x: F.concat(F.lower(F.substring_index(x, ":", 1)), F.lit("="), F.substring(x, F.instr(x, ":") + 1, 2**31 - 1))), "\n"))

@@ -106,3 +106,38 @@ def reason_durations(states: DataFrame, key: str, ts: str, reason: str) -> DataF
     upto = F.lead(ts).over(by_time)
     spans = changed.withColumn("_s", upto - F.col(ts)).where("_s is not null")
     return spans.groupBy(key, reason).agg(F.sum("_s").alias("seconds"))
+
+
+# Alert rules over recent counters (name, counter, threshold, severity).
+ALERTS = (
+    ("checkpoint_write_failing", "checkpoint_failures", 0, "critical"),
+    ("archive_compression_failing", "gzip_archive_failures", 0, "warning"),
+    ("recovery_fallback_seen", "recovery_fallbacks", 0, "warning"),
+    ("compressed_read_failing", "gzip_read_errors", 0, "warning"),
+    ("corrupted_segments_seen", "corrupted_segments", 0, "warning"),
+    ("many_problems", None, 10, "critical"),
+)
+
+
+def alerts(counters: DataFrame, key: str) -> DataFrame:
+    """key, alert, severity of every rule that fires; the rule without a counter looks at all of them."""
+    every = [name for name, _ in UNHEALTHY]
+    fires = lambda name, most: F.col(name) > most if name else F.greatest(*every) > most
+    found = F.array(*[F.when(fires(name, most), F.struct(F.lit(alert).alias("alert"), F.lit(severity).alias("severity"))) for alert, name, most, severity in ALERTS])
+    return counters.select(key, F.explode(F.filter(found, lambda a: a.isNotNull())).alias("a")).select(key, "a.alert", "a.severity")
+
+
+def quota_exceeded(used: Column, quota: Column) -> Column:
+    """Whether a directory's bytes reach its quota; a quota of 0 is off."""
+    return (quota > 0) & (used >= quota)
+
+
+def can_resume(used: Column, quota: Column, resume: Column) -> Column:
+    """Whether writing may go on after a pause: no quota, or use at or below ``resume`` (the quota if 0)."""
+    return (quota == 0) | (used <= F.when(resume == 0, quota).otherwise(resume))
+
+
+def over_watermark(pending: Column, high: Column, low: Column, waiting: Column) -> Column:
+    """Whether a writer must wait: over the high mark, or already waiting and over the low one (half the high if 0)."""
+    floor = F.when(low == 0, F.floor(high / 2)).otherwise(low)
+    return (high > 0) & F.when(waiting, pending > floor).otherwise(pending > high)

@@ -176,4 +176,18 @@ SELECT b.scenario, b.shards, round(b.t / (b.shards * o.t), 9) AS efficiency FROM
     "set_operations": """WITH a AS (SELECT user_id FROM events WHERE event_type = 'view'), b AS (SELECT user_id FROM events WHERE event_type = 'click'),
 m AS (SELECT user_id FROM a EXCEPT ALL SELECT user_id FROM b)
 SELECT user_id, 'either' AS kind FROM (SELECT user_id FROM a UNION SELECT user_id FROM b) UNION ALL SELECT DISTINCT user_id, 'more' AS kind FROM m""",
+    "alert_rules": f"""WITH {_COUNTERS} SELECT event_id, 'checkpoint_write_failing' AS alert, 'critical' AS severity FROM c WHERE ck > 0
+UNION ALL SELECT event_id, 'archive_compression_failing', 'warning' FROM c WHERE ga > 0 UNION ALL SELECT event_id, 'recovery_fallback_seen', 'warning' FROM c WHERE rf > 0
+UNION ALL SELECT event_id, 'compressed_read_failing', 'warning' FROM c WHERE ge > 0 UNION ALL SELECT event_id, 'corrupted_segments_seen', 'warning' FROM c WHERE cs > 0
+UNION ALL SELECT event_id, 'many_problems', 'critical' FROM c WHERE greatest(ck, ga, rf, ge, cs, cl) > 10""",
+    "quota_decisions": """WITH q AS (SELECT event_id, user_id % 100 AS used, user_id % 2 = 0 AS waiting, CASE WHEN user_id % 4 = 0 THEN 0 ELSE 90 END AS quota, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 40 END AS low FROM events)
+SELECT event_id, quota > 0 AND used >= quota AS exceeded, quota = 0 OR used <= CASE WHEN low = 0 THEN quota ELSE low END AS can_resume,
+  quota > 0 AND CASE WHEN waiting THEN used > CASE WHEN low = 0 THEN quota // 2 ELSE low END ELSE used > quota END AS must_wait FROM q""",
+    "directory_sizes": "SELECT regexp_replace(url, '/[^/]*$', '') AS folder, count(*) AS files, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages WHERE url IS NOT NULL GROUP BY 1",
+    "query_jitter": """WITH o AS (SELECT o_orderstatus AS method, CAST(floor(o_totalprice) AS BIGINT) AS us, o_orderkey % 2 = 0 AS cold FROM orders),
+l AS (SELECT method, list(us ORDER BY us) AS x FROM o GROUP BY method)
+SELECT method, min(us) AS least, max(us) AS most, round(avg(us), 6) AS average, round(avg(us) FILTER (NOT cold) / avg(us) FILTER (cold), 9) AS warm_to_cold,
+  any_value(x[CAST(floor(0.99::DOUBLE * (len(x) - 1)) AS BIGINT) + 1]) AS p99 FROM o JOIN l USING (method) GROUP BY method""",
+    "header_filter": """SELECT p_partkey, 'X-Part: ' || p_name AS line FROM part WHERE p_partkey % 3 = 1
+UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 2 AND regexp_matches(p_name, '^[A-Za-z0-9-]+:')""",
 }

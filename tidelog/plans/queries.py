@@ -12,6 +12,7 @@ from tidelog.functions.codec import RecordFormat, decoded, encoded, sanitised, t
 from tidelog.functions.hashing import crc_hex, fnv1a64, unsigned
 from tidelog.operators import delivery, ingest, routing, rules
 from tidelog.plans.records import ReadQuery, matching
+from tidelog.sources import maintenance
 from tidelog.sources import segments as seg
 from tidelog.sources import writer
 
@@ -357,6 +358,41 @@ def set_operations(spark, sf_dir):
     return a.union(b).distinct().select("user_id", F.lit("either").alias("kind")).unionByName(a.exceptAll(b).groupBy("user_id").count().select("user_id", F.lit("more").alias("kind")))
 
 
+def alert_rules(spark, sf_dir):
+    return rules.alerts(_counters(spark, sf_dir), "event_id")
+
+
+def quota_decisions(spark, sf_dir):
+    u = F.col("user_id")
+    quota, low = F.when(u % 4 == 0, 0).otherwise(90), F.when(u % 3 == 0, 0).otherwise(40)
+    return table(spark, sf_dir, "events").select(
+        "event_id", rules.quota_exceeded(u % 100, quota).alias("exceeded"), rules.can_resume(u % 100, quota, low).alias("can_resume"),
+        rules.over_watermark(u % 100, quota, low, u % 2 == 0).alias("must_wait"),
+    )
+
+
+def directory_sizes(spark, sf_dir):
+    files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("size")).where("url is not null")
+    return maintenance.sizes(files)
+
+
+def query_jitter(spark, sf_dir):
+    """Latency of two methods: spread, p99, and the mean of warm runs over that of cold ones."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("method"), F.floor("o_totalprice").cast("long").alias("us"), (F.col("o_orderkey") % 2 == 0).alias("cold")
+    )
+    spread = o.groupBy("method").agg(
+        F.min("us").alias("least"), F.max("us").alias("most"), F.round(F.avg("us"), 6).alias("average"),
+        F.round(F.avg(F.when(~F.col("cold"), F.col("us"))) / F.avg(F.when(F.col("cold"), F.col("us"))), 9).alias("warm_to_cold"),
+    )
+    return spread.join(rules.rank_percentiles(o, ["method"], "us", {"p99": 0.99}), "method")
+
+
+def header_filter(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Host: "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("X-Part: "), "p_name")).otherwise(F.col("p_name")).alias("line"))
+    return p.where(tx.header_valid(F.col("line"))).select("p_partkey", "line")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "records_shard_limit": _read(ReadQuery(shard=2, seq_from=10, seq_to=500)),
     "records_seq_range": _read(ReadQuery(seq_from=100, seq_to=300, limit=None)),
@@ -374,5 +410,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         object_manifest, dedupe_delivery, envelope_render, envelope_decode, ingest_normalize, multiline_merge, source_limits,
         source_offset_running, health_window, health_status, backpressure_decision, ewma_latency, percentile_nearest_rank, rate_alerts,
         pause_durations, scaling_efficiency, benchmark_rollup, writer_metrics, url_endpoints, set_operations,
+        alert_rules, quota_decisions, directory_sizes, query_jitter, header_filter,
     )
 }
