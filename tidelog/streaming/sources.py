@@ -8,6 +8,7 @@ from __future__ import annotations
 import glob
 import os
 import socket
+import sys
 import threading
 from collections.abc import Iterator
 
@@ -86,6 +87,10 @@ class Listener:
 
     def __init__(self, kind: str, address: str) -> None:
         self.kind, self.rows, self.base, self.lock = kind, [], 0, threading.Lock()
+        if kind == "stdin":
+            self.name = "stdin"
+            threading.Thread(target=self._stdin, daemon=True).start()
+            return
         if kind == "unix":
             self.socket = socket.socket(socket.AF_UNIX, socket.SOCK_STREAM)
             self.socket.bind(address)
@@ -102,6 +107,10 @@ class Listener:
         with self.lock:
             self.rows.append((source, line.decode("utf-8", "replace")))
 
+    def _stdin(self) -> None:
+        for line in sys.stdin.buffer:
+            self._put(self.name, line.rstrip(b"\n"))
+
     def _datagrams(self) -> None:
         while True:
             self._put(self.name, self.socket.recv(65536))
@@ -137,7 +146,7 @@ class Listener:
 
 class _ListenReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict) -> None:
-        self.listener = Listener(options.get("kind", "tcp"), options["address"])
+        self.listener = Listener(options.get("kind", "tcp"), options.get("address", ""))
         self.most = int(options.get("maxlines", "10000"))
 
     def initialOffset(self) -> dict:
@@ -155,7 +164,7 @@ class _ListenReader(SimpleDataSourceStreamReader):
 
 
 class ListenSource(DataSource):
-    """format("listen"): lines received at ``address`` by ``kind`` tcp, udp or unix."""
+    """format("listen"): lines received at ``address`` by ``kind`` tcp, udp or unix, or read from stdin."""
 
     @classmethod
     def name(cls) -> str:
