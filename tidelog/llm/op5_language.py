@@ -3,7 +3,7 @@
 A text is lower-cased, everything but letters becomes one space, and its byte n-grams of 1 to 3 bytes
 are hashed to DIMENSIONS counts; counts are damped, weighted by inverse document frequency and
 normalised. Centroids come from spherical k-means within each language over a bounded sample of
-labelled texts. A text whose best cosine is under its centroid's radius is rejected.
+labelled texts. A text whose best cosine is under its language's floor is rejected.
 
 A null text and one without a letter are ``und`` with score 0. Texts are read whole, a long one in
 the same bounded steps as many short ones. Rows are judged alone, so repeated rows agree and ties go
@@ -29,8 +29,8 @@ DIMENSIONS = 4096
 MOST_OF_LANGUAGE = 400
 MOST_LANGUAGES = 200
 CENTROIDS = 4
-#: A text is rejected below this share of the lowest training cosine of its centroid's nearest 99 %.
-RADIUS = 0.6
+#: A text is rejected below this share of the cosine that 99 % of its language's training texts reach.
+RADIUS = 0.5
 BATCH_BYTES = 4 << 20
 ROWS = 512
 
@@ -141,10 +141,9 @@ def fit(docs: DataFrame, most: int = MOST_OF_LANGUAGE, centroids: int = CENTROID
         mine = x[lang == name]
         c = _clusters(mine, centroids)
         near = mine @ c.T
-        for j in range(len(c)):
-            own = near[np.argmax(near, axis=1) == j, j]
-            floor.append(RADIUS * float(np.quantile(own, 0.01)) if len(own) else 1.0)
-            owner.append(k)
+        # One floor for a language: a centroid of near copies must not turn away everything else.
+        floor += [RADIUS * float(np.quantile(near.max(axis=1), 0.01))] * len(c)
+        owner += [k] * len(c)
         centres.append(c)
     return Model(languages, np.array(owner), np.concatenate(centres).astype(np.float32), np.array(floor), idf)
 
