@@ -27,8 +27,8 @@ def test_knn(spark, monkeypatch, shard):
     monkeypatch.setattr(op1_knn, "QUERY_BLOCK", 4)
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=5).round(2).tolist()) for i in range(120)]
-    rows += [(200 + i, [1.0, 0, 0, 0, 0]) for i in range(30)]
-    rows += [(300, None), (310, [1.0, None, 0, 0, 0]), (320, [math.nan, 0, 0, 0, 0.0]), (330, [math.inf, 0, 0, 0, 0]), (None, [1.0] * 5), (340, [0.5, 0.5]), (350, [])]
+    rows += [(200 + i, [1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(30)]
+    rows += [(300, None), (310, [1.0, None, 0.0]), (320, [math.nan, 0.0]), (330, [math.inf, 0.0]), (None, [1.0] * 5), (340, [0.5, 0.5]), (350, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as score")
     got = {tuple(r) for r in op1_knn.knn(frame, F.col("vec_id") % 10 == 0).collect()}
     assert got == brute_knn(rows, lambda q: q % 10 == 0)
