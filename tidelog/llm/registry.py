@@ -29,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_voronoi_knn": op1_knn.ORACLE_SQL,
         "op2_chat_format": op2_chat.ORACLE_SQL,
+        "op7_ngram_jaccard": op7_ngram_join.ORACLE_SQL,
         "op10_lm_score": op10_lm_score.ORACLE_SQL,
     }
