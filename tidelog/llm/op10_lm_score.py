@@ -25,7 +25,7 @@ from tidelog.llm.blocks import answered, bucket_count
 from tidelog.llm.op7_ngram_join import mixed
 
 BACKOFF = 0.4
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 _START = np.uint64(0x5851F42D4C957F2D)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
