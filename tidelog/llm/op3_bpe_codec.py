@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import bpe, common
 from tidelog.llm.blocks import answered, bucket_count
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def encode_decode(
@@ -50,7 +50,8 @@ def encode_decode(
 
     def values(words: pa.Array, _sums: np.ndarray, _blocks: int) -> pa.Array:
         ids, offsets = bpe.codec(vocabulary).encode_words(words.cast(pa.large_string()))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.uint32()))
+        small = bpe.codec(vocabulary).size <= 1 << 16
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.uint16 if small else np.uint32)))
 
     def put(rows: pa.Table, lists: pa.Array | None) -> pa.Table:
         codec = bpe.codec(vocabulary)
