@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import bpe, common
 
 END_ID = 0
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 BLOCK_IDS = 4096
 #: Ranges of doc_id at most; a task writes as many files of FILE_BYTES as its range needs.
