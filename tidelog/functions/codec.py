@@ -70,10 +70,10 @@ def encoded(fmt: RecordFormat, timestamp: Column, shard: Column, sequence: Colum
     return body
 
 
-def field(body: Column, key: str) -> Column:
-    """Value of the first TAB token that begins with ``key=``, null if none."""
+def field(tokens: Column, key: str) -> Column:
+    """Value of the first token that begins with ``key=``, null if none."""
     mark = f"{key}="
-    return F.substring(F.get(F.filter(F.split(body, "\t"), lambda t: t.startswith(mark)), 0), len(mark) + 1, 2**31 - 1)
+    return F.substring(F.get(F.filter(tokens, lambda t: t.startswith(mark)), 0), len(mark) + 1, 2**31 - 1)
 
 
 def _whole_number(text: Column, most: int) -> Column:
@@ -95,9 +95,10 @@ def decoded(lines: DataFrame, column: str = "line", hashes: bool = True) -> Data
         "_crc": F.when(has_crc, mark),
         "_body": F.when(has_crc, F.when(mark != "", F.substring(line, F.length(mark) + 6, 2**31 - 1))).otherwise(line),
     })
-    body, crc = F.col("_body"), F.lower("_crc")
+    rows = rows.withColumn("_tokens", F.split("_body", "\t"))
+    body, tokens, crc = F.col("_body"), F.col("_tokens"), F.lower("_crc")
     head = F.substring_index(body, _PAYLOAD_MARK, 1)
-    payload = field(body, "payload")
+    payload = field(tokens, "payload")
     digest = F.substring(crc, 12, 16)
     kept = xxh64_hex(F.coalesce(payload, F.lit(""))) == digest if hashes else F.lit(True)
     intact = (
@@ -109,10 +110,10 @@ def decoded(lines: DataFrame, column: str = "line", hashes: bool = True) -> Data
     )
     rows = rows.withColumns({
         "_intact": intact,
-        "_ts": field(body, "ts"),
-        "_shard": field(body, "shard"),
-        "_seq": field(body, "seq"),
-        "_level": field(body, "level"),
+        "_ts": field(tokens, "ts"),
+        "_shard": field(tokens, "shard"),
+        "_seq": field(tokens, "seq"),
+        "_level": field(tokens, "level"),
         "_payload": payload,
     })
     shard, seq = _whole_number(F.col("_shard"), 2**32 - 1), _whole_number(F.col("_seq"), 2**63 - 1)
@@ -132,7 +133,7 @@ def decoded(lines: DataFrame, column: str = "line", hashes: bool = True) -> Data
         "level": F.coalesce("_level", F.lit("INFO")),
         "payload": F.coalesce("_payload", "_body", F.lit("")),
     })
-    rows = rows.drop("_crc", "_body", "_intact", "_ts", "_shard", "_seq", "_level", "_payload")
+    rows = rows.drop("_crc", "_body", "_tokens", "_intact", "_ts", "_shard", "_seq", "_level", "_payload")
     return unwrapped(rows)
 
 
