@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Minutes of a recent window; thresholds of the health rules in their order.
 RECENT_MINUTES = 5
@@ -63,9 +67,36 @@ def backpressure(limits: dict[str, int]) -> Column:
     return out
 
 
-def ewma(values: Column) -> Column:
-    """Moving average of an ordered array in whole numbers: (7 old + new) div 8, beginning with the first."""
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: F.when(a == 0, x).otherwise(F.floor((a * 7 + x) / 8).cast("long")))
+def ewma(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, average of a key's whole numbers in order: (7 old + new) div 8, beginning with the first, and anew after 0.
+
+    Each step rounds, so a key's rows are folded one after another; its task reads them in order as
+    chunks of Arrow's batch size and carries the average from chunk to chunk. A null makes it null.
+    """
+    kind = rows.schema[key].dataType
+
+    def fold(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The schema is told by the first chunk; a task without rows gives none.
+        at, average, begun, of = None, None, False, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], of), pa.array([average], pa.int64())], ["key", "average"])
+
+        for chunk in stream:
+            of = chunk.schema.field(0).type
+            for k, x in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist()):
+                if not begun or k != at:
+                    if begun:
+                        yield out()
+                    at, average, begun = k, 0, True
+                if average is not None:
+                    average = x if average == 0 else None if x is None else (average * 7 + x) // 8
+        if begun:
+            yield out()
+
+    ordered = rows.repartition(key).sortWithinPartitions(key, order, value).select(F.col(key).alias("key"), F.col(value).cast("long").alias("x"))
+    schema = T.StructType([T.StructField("key", kind), T.StructField("average", T.LongType())])
+    return ordered.mapInArrow(fold, schema).withColumnRenamed("key", key)
 
 
 def nearest_rank(values: Column, ratio: float) -> Column:

@@ -305,9 +305,8 @@ def backpressure_decision(spark, sf_dir):
 
 
 def ewma_latency(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 2000")
-    rows = e.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("event_id", F.floor(F.col("value") * 100).cast("long").alias("x")))).alias("l"))
-    return rows.select("event_type", rules.ewma(F.col("l.x")).alias("average"))
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.floor(F.col("value") * 100).cast("long").alias("x"))
+    return rules.ewma(e, "event_type", "event_id", "x")
 
 
 def percentile_nearest_rank(spark, sf_dir):
