@@ -1,5 +1,7 @@
 """Queries cover all rows: compared with plain Python on tables where a cut would show."""
 
+import json
+
 from duck import SF
 
 from tidelog.operators import rules
@@ -16,6 +18,23 @@ def averages(rows):
     return out
 
 
+def test_every_batch_is_rendered(spark):
+    shards = {}
+    for r in queries.records(spark, SF).select("shard", "sequence", "payload").collect():
+        shards.setdefault(r["shard"], {})[r["sequence"]] = r["payload"]
+    want = {}
+    for shard, rows in shards.items():
+        for first in range(0, len(rows), 20):
+            end = min(first + 20, len(rows))
+            items = [{"sequence": n, "message": rows[n]} for n in range(first, end)]
+            want[shard, first // 20] = {"agent_id": "agent-1", "shard": shard, "first_sequence": first, "next_sequence": end, "records": items}
+    assert max(n for _, n in want) > 3
+    got = lambda f: {(r["shard"], r["batch_no"]): json.loads(r["body"]) for r in f(spark, SF).collect()}
+    assert got(queries.sink_batch_json) == want
+    assert {k: v["value"] for k, v in got(queries.kafka_envelope).items()} == want
+    assert {k: v["body"] for k, v in got(queries.object_manifest).items()} == want
+
+
 def test_ewma_folds_every_event(spark):
     rows = [(r["event_id"], r["event_type"], int(r["value"] * 100 // 1)) for r in queries.table(spark, LARGER, "events").collect()]
     want = averages(rows)

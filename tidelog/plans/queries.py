@@ -198,17 +198,17 @@ def pending_counts(spark, sf_dir):
 
 
 def sink_batch_json(spark, sf_dir):
-    made = delivery.batches(records(spark, sf_dir), 20).where("batch_no < 3")
+    made = delivery.batches(records(spark, sf_dir), 20)
     return made.select("shard", "batch_no", delivery.delivery_json(F.lit("agent-1")).alias("body"))
 
 
 def kafka_envelope(spark, sf_dir):
-    made = delivery.batches(records(spark, sf_dir), 20).where("batch_no < 3")
+    made = delivery.batches(records(spark, sf_dir), 20)
     return made.select("shard", "batch_no", delivery.kafka_json(F.lit("logs"), F.lit("agent-1")).alias("body"))
 
 
 def object_manifest(spark, sf_dir):
-    made = delivery.batches(records(spark, sf_dir), 20).where("batch_no < 3")
+    made = delivery.batches(records(spark, sf_dir), 20)
     return made.select("shard", "batch_no", delivery.manifest_json(F.lit("agent"), F.lit("agent-1")).alias("body"))
 
 
