@@ -35,6 +35,14 @@ def test_every_batch_is_rendered(spark):
     assert {k: v["body"] for k, v in got(queries.object_manifest).items()} == want
 
 
+def test_every_segment_is_ranked(spark):
+    rows = queries.seg.without_twins(queries.seg.described(queries._files(spark, SF), "shard")).collect()
+    rows.sort(key=lambda r: (r["shard_id"], not r["archived"], r["timestamp_ms"], r["rotation_index"], r["path"]))
+    assert len(rows) > 60
+    got = {r["rank"]: r["path"] for r in queries.segment_sort(spark, SF).collect()}
+    assert got == {n + 1: r["path"] for n, r in enumerate(rows)}
+
+
 def test_ewma_folds_every_event(spark):
     rows = [(r["event_id"], r["event_type"], int(r["value"] * 100 // 1)) for r in queries.table(spark, LARGER, "events").collect()]
     want = averages(rows)

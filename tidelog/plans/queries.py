@@ -127,7 +127,7 @@ def archive_dedup(spark, sf_dir):
 
 
 def segment_sort(spark, sf_dir):
-    return seg.without_twins(seg.described(_files(spark, sf_dir), "shard")).orderBy(*seg.segment_order()).limit(60).select("path")
+    return seg.ranked(seg.without_twins(seg.described(_files(spark, sf_dir), "shard"))).select("path", "rank")
 
 
 def retention_topn(spark, sf_dir):

@@ -47,6 +47,15 @@ def segment_order() -> list:
     return [F.asc("shard_id"), F.desc("archived"), F.asc("timestamp_ms"), F.asc("rotation_index"), F.asc("path")]
 
 
+def ranked(segments: DataFrame) -> DataFrame:
+    """``segments`` with rank, their place from 1 in segment_order(): within their shard, after all files of the shards before."""
+    sizes = segments.groupBy("shard_id").agg(F.count("*").alias("_n"))
+    before = W.orderBy("shard_id").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("shard_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    local = F.row_number().over(W.partitionBy("shard_id").orderBy(*segment_order()))
+    return segments.withColumn("_local", local).join(sizes, "shard_id").withColumn("rank", F.col("_base") + F.col("_local")).drop("_base", "_local")
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """path and size of the files directly in a folder, from the file system's own listing; a missing folder is empty."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
