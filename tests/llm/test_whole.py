@@ -1,0 +1,45 @@
+"""Operators find all that their method asks for: compared with the same search without its short cuts."""
+
+import dataclasses
+import itertools
+import re
+
+from tidelog.llm import op6_licenses
+
+
+def spelled(pattern):
+    """Every text that a pattern of literals, alternatives, options and digits matches; a digit as 4."""
+    choices = []
+    for op, x in pattern:
+        match str(op):
+            case "LITERAL":
+                choices.append([chr(x)])
+            case "IN":
+                choices.append(["4"])
+            case "BRANCH":
+                choices.append([t for one in x[1] for t in spelled(one)])
+            case "SUBPATTERN":
+                choices.append(list(spelled(x[3])))
+            case "MAX_REPEAT":
+                assert x[:2] == (0, 1)
+                choices.append(["", *spelled(x[2])])
+            case _:
+                raise ValueError(op)
+    return ["".join(t) for t in itertools.product(*choices)]
+
+
+def test_license_gate_covers_every_alternative(spark, monkeypatch):
+    titles = [t for _, _, title in op6_licenses.LICENSES for t in spelled(re._parser.parse(title))]
+    texts = [f"Licensed under {t}!" for t in titles] + [t for _, _, p, _, _ in op6_licenses.TEXTS for t in spelled(re._parser.parse(p))]
+    texts += ["SPDX-License-Identifier: 0BSD", "Distributed under the FreeBSD license", "Licensed under Creative Commons BY-SA 4.0", "Released under the Python Software Foundation License"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in op6_licenses.scan(frame).collect()}
+    ungated = tuple(dataclasses.replace(s, keywords=("",)) for s in op6_licenses.signatures())
+    shown = lambda t: [(a, b, s.label, s.name) for a, b, s in op6_licenses.detections(op6_licenses.joined(t.lower()))]
+    gated = [shown(t) for t in texts]
+    monkeypatch.setattr(op6_licenses, "signatures", lambda: ungated)
+    for k, t in enumerate(texts):
+        want = shown(t)
+        assert want and gated[k] == want, t
+        assert got[k] == ",".join(sorted({label for _, _, label, _ in want} | set(filter(None, got[k].split(","))) & {label for _, label in op6_licenses.BASE})), t
+    assert [got[len(texts) - 4 + k] for k in range(4)] == ["0bsd", "bsd-2-clause", "cc-by-sa", "python-2.0"]

@@ -2,9 +2,10 @@
 
 Every text is reduced to its words: A-Z lower-cased, maximal runs of 0-9, a-z and characters beyond
 ASCII. A signature is a regular expression over the words joined by single spaces, with a label, a
-priority and a confidence. A text is searched for a signature only if it holds its keyword. Of
-overlapping detections the one of higher priority wins, then the longer, then the earlier; a
-detection inside a kept one is suppressed.
+priority and a confidence. A text is searched for a signature only if one of its words begins with
+one of the signature's keywords, which cover all its alternatives. Of overlapping detections the one
+of higher priority wins, then the longer, then the earlier; a detection inside a kept one is
+suppressed.
 
 The three base phrases are counted at all their places, whatever the other rules find. Null and
 empty texts have no words and no detections; texts are searched whole. Rows are judged alone, so
@@ -35,7 +36,7 @@ BASE = [
     ("cc by nc", "cc-by-nc"),
 ]
 
-#: Label, keyword that a text must hold, and how the license is named, over words joined by spaces.
+#: Label, keywords of which a text must hold one, and how the license is named, over words joined by spaces.
 LICENSES = [
     ("mit", "mit", r"(?:the )?(?:expat )?mit(?: x11)?"),
     ("apache-2", "apache", r"(?:the )?apache(?: software)?(?: license)? (?:version |v)?2(?: 0)?"),
@@ -50,10 +51,10 @@ LICENSES = [
     ("lgpl-3.0", "lesser", r"(?:the )?gnu lesser general public license (?:version |v)3"),
     ("agpl-3.0", "agpl", r"(?:the )?(?:gnu )?agpl ?(?:version |v)?3(?: 0)?"),
     ("agpl-3.0", "affero", r"(?:the )?gnu affero general public license"),
-    ("bsd-2-clause", "bsd", r"(?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
+    ("bsd-2-clause", "bsd freebsd", r"(?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3-clause", "bsd", r"(?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:the )?(?:bsd 4 clause|4 clause bsd|original bsd|old bsd)"),
-    ("0bsd", "bsd", r"(?:the )?(?:0bsd|zero clause bsd|bsd zero clause)"),
+    ("0bsd", "bsd 0bsd", r"(?:the )?(?:0bsd|zero clause bsd|bsd zero clause)"),
     ("bsd", "bsd", r"(?:the )?bsd"),
     ("isc", "isc", r"(?:the )?isc"),
     ("mpl-2.0", "mpl", r"(?:the )?mpl ?(?:version |v)?2(?: 0)?"),
@@ -69,12 +70,12 @@ LICENSES = [
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl", r"(?:the )?wtfpl"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-nc-nd", "cc", r"(?:creative commons|cc) by nc nd(?: \d 0)?"),
-    ("cc-by-nc-sa", "cc", r"(?:creative commons|cc) by nc sa(?: \d 0)?"),
-    ("cc-by-nc", "cc", r"(?:creative commons|cc) by nc(?: \d 0)?"),
-    ("cc-by-nd", "cc", r"(?:creative commons|cc) by nd(?: \d 0)?"),
-    ("cc-by-sa", "cc", r"(?:creative commons|cc) by sa(?: \d 0)?"),
-    ("cc-by", "cc", r"(?:creative commons|cc) by(?: \d 0)?"),
+    ("cc-by-nc-nd", "cc creative", r"(?:creative commons|cc) by nc nd(?: \d 0)?"),
+    ("cc-by-nc-sa", "cc creative", r"(?:creative commons|cc) by nc sa(?: \d 0)?"),
+    ("cc-by-nc", "cc creative", r"(?:creative commons|cc) by nc(?: \d 0)?"),
+    ("cc-by-nd", "cc creative", r"(?:creative commons|cc) by nd(?: \d 0)?"),
+    ("cc-by-sa", "cc creative", r"(?:creative commons|cc) by sa(?: \d 0)?"),
+    ("cc-by", "cc creative", r"(?:creative commons|cc) by(?: \d 0)?"),
     ("cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike(?: \d 0)?"),
     ("cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: \d 0)?"),
     ("cc-by-nc", "creative", r"creative commons attribution non ?commercial(?: \d 0)?"),
@@ -85,7 +86,7 @@ LICENSES = [
     ("ofl-1.1", "sil", r"(?:the )?sil open font license(?: (?:version |v)?1 1)?"),
     ("ms-pl", "microsoft", r"(?:the )?microsoft public license"),
     ("postgresql", "postgresql", r"(?:the )?postgresql license"),
-    ("python-2.0", "psf", r"(?:the )?(?:psf license|python software foundation license)"),
+    ("python-2.0", "psf python", r"(?:the )?(?:psf license|python software foundation license)"),
     ("ncsa", "ncsa", r"(?:the )?(?:university of illinois )?ncsa(?: open source)?"),
 ]
 
@@ -99,7 +100,7 @@ PHRASINGS = [
     ("under", r"under {}", 40, 0.6),
 ]
 
-#: Single signatures that name no license by title: label, keyword, pattern, priority, confidence.
+#: Single signatures that name no license by title: label, keywords, pattern, priority, confidence.
 TEXTS = [
     ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 95, 1.0),
     ("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 95, 1.0),
@@ -118,7 +119,7 @@ _GAP = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 @dataclass(frozen=True)
 class Signature:
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     name: str
     pattern: re.Pattern
     priority: int
@@ -129,11 +130,11 @@ class Signature:
 def signatures() -> tuple[Signature, ...]:
     """The rules in order: every way of saying it for every license, then whole texts."""
     out = [
-        Signature(label, keyword, name, re.compile(rf"(?<= ){around.format(f'(?:{title})')}(?= )"), priority, confidence)
+        Signature(label, tuple(keywords.split(" ")), name, re.compile(rf"(?<= ){around.format(f'(?:{title})')}(?= )"), priority, confidence)
         for name, around, priority, confidence in PHRASINGS
-        for label, keyword, title in LICENSES
+        for label, keywords, title in LICENSES
     ]
-    out += [Signature(a, k, "text", re.compile(rf"(?<= ){p}(?= )"), n, c) for a, k, p, n, c in TEXTS]
+    out += [Signature(a, tuple(k.split(" ")), "text", re.compile(rf"(?<= ){p}(?= )"), n, c) for a, k, p, n, c in TEXTS]
     return tuple(sorted(out, key=lambda s: -s.priority))
 
 
@@ -152,7 +153,7 @@ def joined(text: str) -> str:
 
 def detections(words: str) -> list[tuple[int, int, Signature]]:
     """Kept (start, end, signature) of all rules over joined words, in order of place."""
-    found = [(m.start(), m.end(), s) for s in signatures() if f" {s.keyword}" in words for m in s.pattern.finditer(words)]
+    found = [(m.start(), m.end(), s) for s in signatures() if any(f" {k}" in words for k in s.keywords) for m in s.pattern.finditer(words)]
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
     kept: list[tuple[int, int, Signature]] = []
     for a, b, s in found:
@@ -167,7 +168,7 @@ def scan(docs: DataFrame) -> DataFrame:
     detections holds (label, rule, first word, words) of each kept detection; score is the highest
     confidence, 1 for a base phrase, 0 without any.
     """
-    keywords = sorted({s.keyword for s in signatures()} | {p.split(" ")[-1] for p, _ in BASE} | {"mit", "apache", "cc"})
+    keywords = sorted({k for s in signatures() for k in s.keywords} | {p.split(" ")[-1] for p, _ in BASE} | {"mit", "apache", "cc"})
     gate = r"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(keywords) + ")"
     kind = pa.list_(pa.struct([("label", pa.string()), ("rule", pa.string()), ("first", pa.int64()), ("words", pa.int64())]))
     schema = pa.schema([
