@@ -4,7 +4,10 @@ import dataclasses
 import itertools
 import re
 
-from tidelog.llm import op6_licenses
+import brute
+import numpy as np
+
+from tidelog.llm import op6_licenses, op7_ngram_join
 
 
 def spelled(pattern):
@@ -43,3 +46,25 @@ def test_license_gate_covers_every_alternative(spark, monkeypatch):
         assert want and gated[k] == want, t
         assert got[k] == ",".join(sorted({label for _, _, label, _ in want} | set(filter(None, got[k].split(","))) & {label for _, label in op6_licenses.BASE})), t
     assert [got[len(texts) - 4 + k] for k in range(4)] == ["0bsd", "bsd-2-clause", "cc-by-sa", "python-2.0"]
+
+
+def test_links_are_all_given(spark, docs, texts, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = {i: " ".join(f"v{rng.integers(0, 9)}" if rng.random() < 0.01 else f"w{k}" for k in range(80)) for i in range(60)}
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    for given, table, chunk in ((docs, texts, 2048), (frame, rows, 2048), (frame, rows, 7)):
+        monkeypatch.setattr(op7_ngram_join, "CHUNK_SETS", chunk)
+        sets = {i: brute.shingles(t, 4) for i, t in table.items()}
+        reps = {}
+        for i in sorted(sets):
+            reps.setdefault(sets[i] or i, i)
+        want = {
+            (a, b, len(sets[a] & sets[b]))
+            for a, b in itertools.combinations(sorted(reps.values()), 2)
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+        }
+        assert table is texts or len(want) > len(rows)
+        pairs, members = op7_ngram_join.links(given)
+        assert sorted(tuple(r) for r in pairs.select("a", "b", "shared").collect()) == sorted(want)
+        got = {r["doc_id"]: (r["rep"], r["n_shingles"]) for r in members.collect()}
+        assert got == {i: (reps[s or i], len(s)) for i, s in sets.items()}

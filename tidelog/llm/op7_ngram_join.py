@@ -6,10 +6,11 @@
    do are put into one candidate cluster. Frequent shingles come last in the order of rarity; which
    ones are frequent is counted in the tasks, and changes only what is tried.
 3. Clusters are solved apart: inverted lists of the cluster's sets, the short ones merged, the long
-   ones probed by binary search (DivideSkip), documents kept that reach the required overlap. Pairs
-   already connected are not tried again, so a group of copies costs no square of its size. A cluster
+   ones probed by binary search (DivideSkip), documents kept that reach the required overlap. A cluster
    too large for a task is cut into chunks, and every pair of chunks is solved.
-4. Links give the connected components.
+4. links() gives every link between classes and each document's class. near_duplicates() gives the
+   connected components only; for these, pairs already connected are not tried again, so a group of
+   near copies costs no square of its size.
 
 Null and empty texts have empty sets and link with nothing; equal rows and equal doc_ids are fine; a
 null doc_id is left out; texts are read whole; an empty table gives no rows.
@@ -120,22 +121,22 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (total[ends[1:]] - total[ends[:-1]]).view(np.int64)
 
 
-def link(sets: list[np.ndarray], measure: Measure) -> np.ndarray:
-    """The least index that every set is connected to by links between sets of the list."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    label = np.arange(len(sets))
-    if not len(sets) or not sizes.sum():
-        return label
-    owner = np.repeat(np.arange(len(sets)), sizes[order])
-    tokens, codes, df = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+def _overlapping(sets: list[np.ndarray], measure: Measure, label: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(x, places before x that link with it, shared shingles) over sets in order of size, each pair once.
+
+    With ``label``, which the caller keeps up, pairs of one label are not tried.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    if not len(sets) or not n.sum():
+        return
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, codes, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = df[codes] > 1
     owner, codes = owner[shared], codes[shared]
     # Inverted lists: sets by token in order of size, all in one sorted array, so one search probes many lists.
     m = len(sets)
     entries = np.sort(codes * m + owner)
     mine = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=m))])
-    n = sizes[order]
     able = (n > 0) & (np.diff(mine) >= measure.least_overlap(n))
     for x in np.flatnonzero(able).tolist():
         low = int(np.searchsorted(n, measure.least_overlap(int(n[x]))))
@@ -160,7 +161,8 @@ def link(sets: list[np.ndarray], measure: Measure) -> np.ndarray:
         found = np.flatnonzero((counts > 0) & (counts >= wanted - long) & able[low:x])
         found = found[np.argsort(-counts[found], kind="stable")]
         while True:
-            found = found[label[found + low] != label[x]]
+            if label is not None:
+                found = found[label[found + low] != label[x]]
             if not len(found):
                 break
             some, found = found[:64], found[64:]
@@ -169,9 +171,19 @@ def link(sets: list[np.ndarray], measure: Measure) -> np.ndarray:
                 keys = probed[None, :] * m + (some + low)[:, None]
                 place = np.minimum(np.searchsorted(entries, keys), len(entries) - 1)
                 total = total + (entries[place] == keys).sum(axis=1)
-            for y in (some[total >= wanted[some]] + low).tolist():
-                a, b = sorted((label[x], label[y]))
-                label[label == b] = a
+            reached = total >= wanted[some]
+            if reached.any():
+                yield x, some[reached] + low, total[reached]
+
+
+def link(sets: list[np.ndarray], measure: Measure) -> np.ndarray:
+    """The least index that every set is connected to by links between sets of the list."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    label = np.arange(len(sets))
+    for x, near, _ in _overlapping([sets[i] for i in order], measure, label):
+        for y in near.tolist():
+            a, b = sorted((label[x], label[y]))
+            label[label == b] = a
     # Back to the given order, each component named by its least index.
     given = np.empty(len(sets), np.int64)
     given[order] = label
@@ -180,6 +192,14 @@ def link(sets: list[np.ndarray], measure: Measure) -> np.ndarray:
     return least[given]
 
 
+def pairs(sets: list[np.ndarray], measure: Measure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every link of the list: its lower index, its higher one, and their shared shingles."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    found = [(np.full(len(near), order[x]), order[near], shared) for x, near, shared in _overlapping([sets[i] for i in order], measure)]
+    a, b, shared = (np.concatenate([np.empty(0, np.int64), *c]) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+    return np.minimum(a, b), np.maximum(a, b), shared
+
+
 def classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, f1, f2) of every document, equal where the sets are; (tok, docs) of shingles frequent in tasks."""
 
@@ -253,8 +273,8 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) ->
     return stars.unionByName(pairs)
 
 
-def near_duplicates(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of ``docs`` (doc_id, text)."""
+def _cells(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every document's class, the classes by their least doc_id, and the texts of each cell to be solved."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every, counted = classes(rows, measure)
     top = counted.where(F.col("docs") >= FREQUENT).orderBy(F.desc("docs"), "tok").limit(MOST_FREQUENT).select("tok").toArrow()
@@ -272,14 +292,48 @@ def near_duplicates(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     # A cell holds two chunks, or the only one; each two chunks meet in one cell, which solves all pairs in it.
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     cells = texts.withColumn("d", other).where((F.col("chunks") == 1) | (F.col("c") != F.col("d")))
-    cells = cells.select("cluster", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "doc_id", "text")
+    cells = cells.select("cluster", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "doc_id", "text")
+    return every, reps, cells
+
+
+def _sets(group: pa.Table, measure: Measure) -> tuple[pa.Table, np.ndarray, list[np.ndarray]]:
+    """A cell in order of doc_id, these, and the shingle sets."""
+    ids = np.asarray(group["doc_id"], np.int64)
+    group = group.take(pa.array(np.argsort(ids, kind="stable")))
+    flat, ends = shingle_sets(common.strings(group["text"]), measure)
+    return group, np.sort(ids), [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, DataFrame]:
+    """(a, b, shared) of all links between classes, and (doc_id, n_shingles, rep) of every document.
+
+    A class is named by its least doc_id; a < b are two classes that link and ``shared`` the shingles
+    they share. Two documents link if their reps are equal, and their sets not empty, or are a pair.
+    No link is left out for being implied by others, so a group of g classes that all link gives
+    g (g - 1) / 2 rows; near_duplicates() is for those who need the groups only.
+    """
+    every, reps, cells = _cells(docs, measure)
+
+    def solve(group: pa.Table) -> pa.Table:
+        group, ids, sets = _sets(group, measure)
+        i, j, c = group["i"][0].as_py(), group["j"][0].as_py(), np.asarray(group["c"], np.int64)
+        a, b, shared = pairs(sets, measure)
+        # A chunk meets several others; its own pairs are given in the first of these cells.
+        keep = (c[a] != c[b]) | ((i == 0) & np.where(c[a] == 0, j <= 1, c[a] == j))
+        return pa.table({"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]]), "shared": pa.array(shared[keep].astype(np.int64))})
+
+    found = cells.groupBy("cluster", "i", "j").applyInArrow(solve, "a long, b long, shared long")
+    members = every.where("n > 0").join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "rep")
+    return found, members.unionByName(every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("rep")))
+
+
+def near_duplicates(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of ``docs`` (doc_id, text)."""
+    every, reps, cells = _cells(docs, measure)
 
     def solve(group: pa.Table) -> pa.Table:
-        ids = np.asarray(group["doc_id"], np.int64)
-        group = group.take(pa.array(np.argsort(ids, kind="stable")))
-        ids = np.sort(ids)
-        flat, ends = shingle_sets(common.strings(group["text"]), measure)
-        root = link([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], measure)
+        _, ids, sets = _sets(group, measure)
+        root = link(sets, measure)
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(ids[root[moved]]), "b": pa.array(ids[moved])})
 
