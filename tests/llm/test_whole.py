@@ -3,11 +3,12 @@
 import dataclasses
 import itertools
 import re
+import zlib
 
 import brute
 import numpy as np
 
-from tidelog.llm import op6_licenses, op7_ngram_join
+from tidelog.llm import op5_language, op6_licenses, op7_ngram_join
 
 
 def spelled(pattern):
@@ -68,3 +69,21 @@ def test_links_are_all_given(spark, docs, texts, monkeypatch):
         assert sorted(tuple(r) for r in pairs.select("a", "b", "shared").collect()) == sorted(want)
         got = {r["doc_id"]: (r["rep"], r["n_shingles"]) for r in members.collect()}
         assert got == {i: (reps[s or i], len(s)) for i, s in sets.items()}
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(230):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäöüéèçñ"), 6)) for _ in range(6)]
+        # The last thirty languages have fewer texts than the others.
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 40)), f"l{k:03}") for i in range(8 if k < 200 else 5)]
+    # All texts of this one are held out, so it can't be learned and nothing of it may be turned away for that.
+    first = next(i for i in range(10_000, 10_100) if zlib.crc32(str(i).encode()) % 5 == 0)
+    rows.append((first, "жило было слово " * 9, "unlearned"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op5_language.fit(docs)
+    assert model.languages == [f"l{k:03}" for k in range(230)]
+    got = {r["_row"]["doc_id"]: r for r in op5_language.predicted(docs, model).collect()}
+    assert all(got[i]["lang_pred"] == lang and not got[i]["rejected"] for i, _, lang in rows[:-1])
+    assert {r["doc_id"] for r in op5_language.filtered(docs).collect()} == {i for i, _, _ in rows}

@@ -2,8 +2,9 @@
 
 A text is lower-cased, everything but letters becomes one space, and its byte n-grams of 1 to 3 bytes
 are hashed to DIMENSIONS counts; counts are damped, weighted by inverse document frequency and
-normalised. Centroids come from spherical k-means within each language over a bounded sample of
-labelled texts. A text whose best cosine is under its language's floor is rejected.
+normalised. Centroids come from spherical k-means within each language, every one of the column, over
+a bounded sample of its labelled texts; a language is solved in one task, and the driver and the tasks
+hold its centroids only. A text whose best cosine is under its language's floor is rejected.
 
 A null text and one without a letter are ``und`` with score 0. Texts are read whole, a long one in
 the same bounded steps as many short ones. Rows are judged alone, so repeated rows agree and ties go
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +29,6 @@ from tidelog.llm import common
 DIMENSIONS = 4096
 #: Labelled texts of each language at most that centroids are made from, the lowest hashes of doc_id.
 MOST_OF_LANGUAGE = 400
-MOST_LANGUAGES = 200
 CENTROIDS = 4
 #: A text is rejected below this share of the cosine that 99 % of its language's training texts reach.
 RADIUS = 0.5
@@ -98,19 +99,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, most: int = MOST_OF_LANGUAGE, centroids: int = CENTROIDS) -> Model:
-    """Learn from text and lang of the rows whose crc32(doc_id) modulo 5 is not 0, ``most`` per language."""
+    """Learn from text and lang of the rows whose crc32(doc_id) modulo 5 is not 0, ``most`` of every language."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    # The lowest hashes of each language, found without its texts: top rows per task, then overall.
-    ids = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    kinds = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not kinds:
-        return Model([], np.empty(0, int), np.empty((0, DIMENSIONS), np.float32), np.empty(0), np.ones(DIMENSIONS))
-    # Bounded by MOST_LANGUAGES x ``most`` ids, so it may be broadcast.
-    chosen = None
-    for kind in kinds:
-        top = ids.where(F.col("lang") == kind).orderBy("h", "doc_id").limit(most).select("doc_id")
-        chosen = top if chosen is None else chosen.unionByName(top)
-    taken = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), "doc_id")
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    # The lowest hashes of each language, found without its texts: top rows per task, then overall. As
+    # a stored table its size is known, so that where it is small the texts are not dealt out.
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = rows.select("lang", "doc_id").withColumn("n", nth).where(F.col("n") <= most).select("lang", "doc_id").distinct()
+    taken = rows.join(common.stored(chosen, "chosen"), ["doc_id", "lang"]).select("doc_id", "lang", "text")
 
     def features(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in common.batches(stream, BATCH_BYTES):
@@ -127,25 +123,39 @@ def fit(docs: DataFrame, most: int = MOST_OF_LANGUAGE, centroids: int = CENTROID
                         "n": pa.array([found[k][at].astype("<f4").tobytes()], pa.binary()),
                     })
 
-    got = taken.mapInArrow(features, "doc_id long, lang string, at binary, n binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    x = np.zeros((len(got), DIMENSIONS), np.float32)
-    for k, r in enumerate(got):
-        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-    x = vectors(x, idf)
-    lang = np.array([r["lang"] for r in got])
-    languages = sorted(set(lang.tolist()))
-    centres, owner, floor = [], [], []
-    for k, name in enumerate(languages):
-        mine = x[lang == name]
-        c = _clusters(mine, centroids)
-        near = mine @ c.T
+    found = common.stored(taken.mapInArrow(features, "doc_id long, lang string, at binary, n binary"), "features")
+
+    def spread(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(DIMENSIONS, np.int64)
+        for rows in stream:
+            n += rows.num_rows
+            for at in rows["at"]:
+                df[np.frombuffer(at.as_py(), "<u2")] += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "df": pa.array([df.tobytes()], pa.binary())})
+
+    sums = found.select("at").mapInArrow(spread, "n long, df binary").collect()
+    n = sum(r["n"] for r in sums)
+    df = sum((np.frombuffer(r["df"], np.int64) for r in sums), np.zeros(DIMENSIONS, np.int64))
+    if not n:
+        return Model([], np.empty(0, int), np.empty((0, DIMENSIONS), np.float32), np.empty(0), np.ones(DIMENSIONS))
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
+
+    def solve(group: pa.Table) -> pa.Table:
+        group = group.take(pa.array(np.argsort(np.asarray(group["doc_id"], np.int64), kind="stable")))
+        x = np.zeros((len(group), DIMENSIONS), np.float32)
+        for k, (at, of) in enumerate(zip(group["at"].to_pylist(), group["n"].to_pylist())):
+            x[k, np.frombuffer(at, "<u2")] = np.frombuffer(of, "<f4")
+        x = vectors(x, idf)
+        c = _clusters(x, centroids)
         # One floor for a language: a centroid of near copies must not turn away everything else.
-        floor += [RADIUS * float(np.quantile(near.max(axis=1), 0.01))] * len(c)
-        owner += [k] * len(c)
-        centres.append(c)
-    return Model(languages, np.array(owner), np.concatenate(centres).astype(np.float32), np.array(floor), idf)
+        floor = RADIUS * float(np.quantile((x @ c.T).max(axis=1), 0.01))
+        return pa.table({"lang": pa.array([group["lang"][0].as_py()], pa.string()), "centroids": pa.array([c.astype("<f4").tobytes()], pa.binary()), "floor": [floor]})
+
+    got = found.groupBy("lang").applyInArrow(solve, "lang string, centroids binary, floor double").collect()
+    got.sort(key=lambda r: r["lang"])
+    centres = [np.frombuffer(r["centroids"], "<f4").reshape(-1, DIMENSIONS) for r in got]
+    each = [len(c) for c in centres]
+    return Model([r["lang"] for r in got], np.repeat(np.arange(len(got)), each), np.concatenate(centres), np.repeat([r["floor"] for r in got], each), idf)
 
 
 def predicted(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -187,8 +197,14 @@ def predicted(docs: DataFrame, model: Model, keep: list[str] | None = None) -> D
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is known, with their own columns."""
-    return predicted(docs, fit(docs)).where(~F.col("rejected")).select("_row.*")
+    """The rows of ``docs`` whose language is known, with their own columns.
+
+    A text with a letter also stays if it is labelled with a language of which no text could be learned from.
+    """
+    model = fit(docs)
+    own = F.col("_row.lang").cast("string")
+    new = own.isNotNull() & ~own.isin(model.languages) & F.col("_row.text").cast("string").rlike(r"\p{L}")
+    return predicted(docs, model).where(~F.col("rejected") | new).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
