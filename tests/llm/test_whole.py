@@ -87,3 +87,20 @@ def test_every_language_is_learned(spark):
     got = {r["_row"]["doc_id"]: r for r in op5_language.predicted(docs, model).collect()}
     assert all(got[i]["lang_pred"] == lang and not got[i]["rejected"] for i, _, lang in rows[:-1])
     assert {r["doc_id"] for r in op5_language.filtered(docs).collect()} == {i for i, _, _ in rows}
+
+
+def test_rows_that_share_a_doc_id(spark):
+    text = lambda c, *changed: " ".join("changed" if k in changed else f"{c}{k}" for k in range(60))
+    rows = [
+        (1, text("a")), (1, text("b")), (2, text("a", 59)), (3, text("b", 59)), (1, text("a")), (None, text("a")), (4, text("c")), (4, ""), (4, ""),
+        (5, text("d")), (6, text("d")), (6, text("e")), (7, text("e", 0)), (8, None), (9, text("f")),
+    ]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    got = sorted((r["doc_id"], r["component_id"]) for r in op7_ngram_join.near_duplicates(docs).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 5), (6, 5), (6, 6), (7, 6), (8, 8), (9, 9)]
+    kept = op7_ngram_join.one_of_each(docs, op7_ngram_join.Measure())
+    assert kept.columns == docs.columns
+    left = sorted(r["k"] for r in kept.collect())
+    assert [k for k in left if k not in (0, 4)] == [1, 5, 6, 7, 8, 9, 11, 13, 14] and len({0, 4} & set(left)) == 1
+    pairs, _ = op7_ngram_join.links(docs)
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2), (1, 3), (6, 7)]

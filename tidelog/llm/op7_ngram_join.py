@@ -12,8 +12,9 @@
    connected components only; for these, pairs already connected are not tried again, so a group of
    near copies costs no square of its size.
 
-Null and empty texts have empty sets and link with nothing; equal rows and equal doc_ids are fine; a
-null doc_id is left out; texts are read whole; an empty table gives no rows.
+Null and empty texts have empty sets and link with nothing; equal rows are fine, and so are
+equal doc_ids, whatever their texts; a null doc_id is left out, but stays in one_of_each(); texts are
+read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm import common
 from tidelog.llm.components import components
@@ -224,6 +226,21 @@ def classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
     return both.where("doc_id is not null").drop("tok", "docs"), both.where("tok is not null").groupBy("tok").agg(F.sum("docs").alias("docs"))
 
 
+def _fingerprinted(rows: DataFrame, keep: str, measure: Measure) -> DataFrame:
+    """doc_id, the column ``keep``, n, f1 and f2 of rows with a text."""
+
+    def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.batches(stream, BATCH_BYTES):
+            flat, ends = shingle_sets(common.strings(part["text"]), measure)
+            out = part.select(["doc_id", keep])
+            for name, x in (("n", np.diff(ends)), ("f1", _sums(mixed(flat, 1), ends)), ("f2", _sums(mixed(flat, 2), ends))):
+                out = out.append_column(name, pa.array(x, pa.int64()))
+            yield from out.to_batches()
+
+    fields = [rows.schema["doc_id"], rows.schema[keep], *[T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")]]
+    return rows.mapInArrow(scan, T.StructType(fields))
+
+
 def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFrame:
     """(a, b): class hashes f1 of sets that may link.
 
@@ -282,72 +299,104 @@ def _cells(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, Dat
     clusters = components(candidate_edges(rows, frequent, measure))
     reps = every.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     reps = common.stored(reps, "reps")
-    members = reps.join(clusters.select(F.col("node").alias("f1"), F.col("label").alias("cluster")), "f1").select("rep", "n", "cluster")
+    members = reps.join(clusters.select(F.col("node").alias("f1"), F.col("label").alias("cluster")), "f1").select("f1", "f2", "rep", "n", "cluster")
     members = common.stored(members, "members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
     chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("shingles") / CHUNK_SHINGLES))
     sizes = common.stored(sizes.select("cluster", chunks.cast("int").alias("chunks")), "sizes")
-    placed = members.join(sizes, "cluster").select("cluster", "rep", "chunks", F.pmod(F.xxhash64("rep"), "chunks").cast("int").alias("c"))
-    texts = rows.join(placed.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    place = F.pmod(F.xxhash64("f1", "f2"), "chunks").cast("int").alias("c")
+    placed = members.join(sizes, "cluster").select("f1", "f2", F.col("rep").alias("doc_id"), "cluster", "chunks", place)
+    # A doc_id may have several texts: of its rows, each class takes one whose set is its own.
+    named = rows.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = _fingerprinted(named, "text", measure).dropDuplicates(["doc_id", "f1", "f2"]).join(placed, ["doc_id", "f1", "f2"])
     # A cell holds two chunks, or the only one; each two chunks meet in one cell, which solves all pairs in it.
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     cells = texts.withColumn("d", other).where((F.col("chunks") == 1) | (F.col("c") != F.col("d")))
-    cells = cells.select("cluster", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "doc_id", "text")
+    cells = cells.select("cluster", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "doc_id", "f1", "text")
     return every, reps, cells
 
 
-def _sets(group: pa.Table, measure: Measure) -> tuple[pa.Table, np.ndarray, list[np.ndarray]]:
-    """A cell in order of doc_id, these, and the shingle sets."""
-    ids = np.asarray(group["doc_id"], np.int64)
-    group = group.take(pa.array(np.argsort(ids, kind="stable")))
+def _sets(group: pa.Table, measure: Measure) -> tuple[pa.Table, list[np.ndarray]]:
+    """A cell in order of doc_id and f1, and the shingle sets."""
+    group = group.take(pa.array(np.lexsort((np.asarray(group["f1"], np.int64), np.asarray(group["doc_id"], np.int64)))))
     flat, ends = shingle_sets(common.strings(group["text"]), measure)
-    return group, np.sort(ids), [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    return group, [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, DataFrame]:
-    """(a, b, shared) of all links between classes, and (doc_id, n_shingles, rep) of every document.
+    """(a, b, class_a, class_b, shared) of all links between classes, and (doc_id, n_shingles, rep, class) of every row.
 
-    A class is named by its least doc_id; a < b are two classes that link and ``shared`` the shingles
-    they share. Two documents link if their reps are equal, and their sets not empty, or are a pair.
-    No link is left out for being implied by others, so a group of g classes that all link gives
-    g (g - 1) / 2 rows; near_duplicates() is for those who need the groups only.
+    A class is known by its hash and shown by its least doc_id, which two classes share if that
+    doc_id has two texts; a and b, a at most b, show two classes that link, and ``shared`` counts the
+    shingles they share. Two rows link if their classes are equal, and their sets not empty, or are a
+    pair. No link is left out for being implied by others, so a group of g classes that all link
+    gives g (g - 1) / 2 rows; near_duplicates() is for those who need the groups only.
     """
     every, reps, cells = _cells(docs, measure)
 
     def solve(group: pa.Table) -> pa.Table:
-        group, ids, sets = _sets(group, measure)
+        group, sets = _sets(group, measure)
         i, j, c = group["i"][0].as_py(), group["j"][0].as_py(), np.asarray(group["c"], np.int64)
         a, b, shared = pairs(sets, measure)
         # A chunk meets several others; its own pairs are given in the first of these cells.
         keep = (c[a] != c[b]) | ((i == 0) & np.where(c[a] == 0, j <= 1, c[a] == j))
-        return pa.table({"a": pa.array(ids[a[keep]]), "b": pa.array(ids[b[keep]]), "shared": pa.array(shared[keep].astype(np.int64))})
+        ids, f1 = np.asarray(group["doc_id"], np.int64), np.asarray(group["f1"], np.int64)
+        out = {"a": ids[a[keep]], "b": ids[b[keep]], "class_a": f1[a[keep]], "class_b": f1[b[keep]], "shared": shared[keep].astype(np.int64)}
+        return pa.table({k: pa.array(v) for k, v in out.items()})
 
-    found = cells.groupBy("cluster", "i", "j").applyInArrow(solve, "a long, b long, shared long")
-    members = every.where("n > 0").join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "rep")
-    return found, members.unionByName(every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("rep")))
+    found = cells.groupBy("cluster", "i", "j").applyInArrow(solve, "a long, b long, class_a long, class_b long, shared long")
+    own = ["doc_id", F.col("n").alias("n_shingles")]
+    members = every.where("n > 0").join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).select(*own, "rep", F.col("f1").alias("class"))
+    return found, members.unionByName(every.where("n = 0").select(*own, F.col("doc_id").alias("rep"), F.col("f1").alias("class")))
 
 
-def near_duplicates(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of ``docs`` (doc_id, text)."""
+def _named(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, f1, f2) of every document; (f1, f2, component_id, first) of the classes, first: of its component's classes the one to keep."""
     every, reps, cells = _cells(docs, measure)
 
     def solve(group: pa.Table) -> pa.Table:
-        _, ids, sets = _sets(group, measure)
-        root = link(sets, measure)
+        group, sets = _sets(group, measure)
+        f1, root = np.asarray(group["f1"], np.int64), link(sets, measure)
         moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": pa.array(ids[root[moved]]), "b": pa.array(ids[moved])})
+        return pa.table({"a": pa.array(f1[root[moved]]), "b": pa.array(f1[moved])})
 
     linked = components(cells.groupBy("cluster", "i", "j").applyInArrow(solve, "a long, b long"))
-    named = reps.join(linked.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    named = common.stored(named.select("f1", "f2", F.coalesce("label", "rep").alias("component_id")), "named")
+    linked = common.stored(linked.select(F.col("node").alias("f1"), "label"), "linked")
+    own = F.struct("rep", "f1", "f2")
+    least = reps.join(linked, "f1").groupBy("label").agg(F.min(own).alias("least"))
+    named = reps.join(linked, "f1", "left").join(least, "label", "left").withColumn("least", F.coalesce("least", own))
+    first = (F.col("least.f1") == F.col("f1")) & (F.col("least.f2") == F.col("f2"))
+    return every, common.stored(named.select("f1", "f2", F.col("least.rep").alias("component_id"), first.alias("first")), "named")
+
+
+def near_duplicates(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of ``docs`` (doc_id, text).
+
+    The rows of a doc_id with several texts are several documents; their components share a name if
+    this doc_id is the least of both.
+    """
+    every, named = _named(docs, measure)
     full = every.where("n > 0").join(named, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(every.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, measure: Measure) -> DataFrame:
-    """The rows of ``docs`` that are the least doc_id of their component, with their own columns."""
-    found = near_duplicates(docs, measure).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    """One row of ``docs`` of each component, of its least doc_id, with its own columns.
+
+    Rows without a shingle or a doc_id duplicate nothing and stay.
+    """
+    every, named = _named(docs, measure)
+    first = named.where("first").select(F.col("component_id").alias("doc_id"), "f1", "f2")
+    # Where a doc_id is one row's, it tells the row; the rows of the others are told by their sets.
+    several = common.stored(every.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    kept = first.select("doc_id").unionByName(every.where("n = 0").select("doc_id")).join(several, "doc_id", "left_anti")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = docs.join(several, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("row"), F.col("text").cast("string").alias("text"))
+    shared = _fingerprinted(shared, "row", measure)
+    nth = F.row_number().over(W.partitionBy("doc_id", "f1", "f2").orderBy("row.text"))
+    chosen = shared.where("n > 0").join(first, ["doc_id", "f1", "f2"], "left_semi").withColumn("nth", nth).where("nth = 1")
+    chosen = chosen.select("row.*").union(shared.where("n = 0").select("row.*"))
+    return docs.where("doc_id is null").union(docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])).union(chosen)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
