@@ -1,4 +1,4 @@
-"""Exact top-k search by a Voronoi join: queries and data grouped by pivots, data replicated by bounds.
+"""Exact top-k search by half a Voronoi join: queries grouped by pivots, data replicated by bounds.
 
 Vectors are floor(1024 x) and the score is their integer inner product. Pivots are means of a bounded
 sample. A query group is the queries nearest to one pivot P; its summary holds the radius r of its
@@ -6,6 +6,9 @@ queries about P and the least lower bound t of their k-th scores, each taken ove
 vectors are data too. As q.x <= P.x + r|x|, only vectors with P.x + r|x| >= t can be among the k best
 of a query of the group, and only those are replicated to it. Groups are solved locally, the group's
 queries in blocks and its data in shards, so no task holds a whole group; the shards' k best merge.
+Data are not grouped: they have no pivot and no summary, and each vector is tested alone against
+every query group. The bounds t come from the sample, of one size for any input. So less is pruned
+than with summaries of data cells; what is found is exact.
 
 Vectors that are null, or hold a null or non-finite component, take no part, nor do null ids. Shorter
 vectors count as ending in zeros. Equal scores go to the smaller vec_id; rows of the query's own
