@@ -124,6 +124,6 @@ def answered(
             raise RuntimeError("a block's keys and their values differ in number")
         return result(table, pa.concat_arrays(got).take(pa.array(back)) if got else None)
 
-    answers = docs.mapInArrow(ask, _ASKED).groupBy("bucket").applyInArrow(answer, _ANSWER)
-    blocks = docs.mapInArrow(pack, _BLOCK)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put_back, schema)
+    answers = common.mapped(docs, ask, _ASKED).groupBy("bucket").applyInArrow(common.lean(answer), _ANSWER)
+    blocks = common.mapped(docs, pack, _BLOCK)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(common.lean(put_back), schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,12 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 _LOCAL_DIR: list[str] = []
+_MADE: set[str] = set()
+#: Rows and bytes that move between the JVM and Python at once, at most; texts are long.
+ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
+#: Groups give memory back when they have held so much since they did last.
+_LEAN_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local one if all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append("file://" + tempfile.mkdtemp(prefix="tidelog-"))
     return _LOCAL_DIR[0]
 
 
 def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}"
+    """This application's folder in the shared one, deleted when the application ends."""
+    folder = f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}"
+    if folder not in _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MADE.add(folder)
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -42,6 +59,7 @@ def clear(spark: SparkSession) -> None:
     """Delete what this application has stored in the shared folder; its results must have been written elsewhere."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE.discard(_own_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -99,3 +117,51 @@ def bounds(array: pa.ListArray) -> np.ndarray:
     """Offsets of a list array's rows in its flattened values."""
     offsets = np.asarray(array.offsets, np.int64)
     return offsets - offsets[0]
+
+
+def give_back() -> None:
+    """Return free memory to the system: Python workers outlive their tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session than Spark's own of 10,000 rows of any size."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or (now.isdigit() and int(now) > most):
+            spark.conf.set(key, str(most))
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in small batches; the worker gives its memory back when the task ends."""
+    _bounded(df.sparkSession)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(stream)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+_held = [0]
+
+
+def lean(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """For applyInArrow: ``work`` whose worker gives its memory back after every few large groups."""
+
+    def run(*groups: pa.Table) -> pa.Table:
+        out = work(*groups)
+        _held[0] += sum(g.nbytes for g in groups if isinstance(g, pa.Table))
+        if _held[0] > _LEAN_BYTES:
+            _held[0] = 0
+            give_back()
+        return out
+
+    if work.__code__.co_argcount == 2:
+        return lambda left, right: run(left, right)
+    return lambda group: run(group)

@@ -115,7 +115,7 @@ def knn(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                 ["vec_id", "v", "g", "away", "floor"],
             )
 
-    queries = common.stored(rows.where("q").drop("q").mapInArrow(group, "vec_id long, v array<long>, g int, away double, floor double"), "queries")
+    queries = common.stored(common.mapped(rows.where("q").drop("q"), group, "vec_id long, v array<long>, g int, away double, floor double"), "queries")
     blocks = lambda n: F.ceil(n / QUERY_BLOCK)
     # Summaries: one row for each of at most MOST_PIVOTS groups.
     summary = queries.groupBy("g").agg(F.max("away").alias("r"), F.min("floor").alias("t"), blocks(F.count("*")).alias("blocks")).orderBy("g").collect()
@@ -136,7 +136,7 @@ def knn(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                     n = len(need)
                     yield from part.append_column("g", pa.array(np.full(n, names[j]))).append_column("b", pa.array(np.full(n, b, np.int32))).to_batches()
 
-    data = rows.mapInArrow(lambda s: replicate(s), "vec_id long, v array<long>, g int, b int")
+    data = common.mapped(rows, replicate, "vec_id long, v array<long>, g int, b int")
     data = data.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     per_group = F.create_map(*[F.lit(int(z)) for s in summary for z in (s["g"], s["blocks"])])
     asked = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), per_group[F.col("g")]).cast("int"))
@@ -156,7 +156,7 @@ def knn(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
         ], schema=kind)
 
     key = ["g", "b", "s"]
-    partial = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(solve, "query_id long, vec_id long, score long")
+    partial = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(common.lean(solve), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -32,8 +32,8 @@ MOST_OF_LANGUAGE = 400
 CENTROIDS = 4
 #: A text is rejected below this share of the cosine that 99 % of its language's training texts reach.
 RADIUS = 0.5
-BATCH_BYTES = 4 << 20
-ROWS = 512
+BATCH_BYTES = 2 << 20
+ROWS = 256
 
 UNKNOWN = "und"
 
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, most: int = MOST_OF_LANGUAGE, centroids: int = CENTROID
                         "n": pa.array([found[k][at].astype("<f4").tobytes()], pa.binary()),
                     })
 
-    found = common.stored(taken.mapInArrow(features, "doc_id long, lang string, at binary, n binary"), "features")
+    found = common.stored(common.mapped(taken, features, "doc_id long, lang string, at binary, n binary"), "features")
 
     def spread(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(DIMENSIONS, np.int64)
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, most: int = MOST_OF_LANGUAGE, centroids: int = CENTROID
                 df[np.frombuffer(at.as_py(), "<u2")] += 1
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "df": pa.array([df.tobytes()], pa.binary())})
 
-    sums = found.select("at").mapInArrow(spread, "n long, df binary").collect()
+    sums = common.mapped(found.select("at"), spread, "n long, df binary").collect()
     n = sum(r["n"] for r in sums)
     df = sum((np.frombuffer(r["df"], np.int64) for r in sums), np.zeros(DIMENSIONS, np.int64))
     if not n:
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, most: int = MOST_OF_LANGUAGE, centroids: int = CENTROID
         floor = RADIUS * float(np.quantile((x @ c.T).max(axis=1), 0.01))
         return pa.table({"lang": pa.array([group["lang"][0].as_py()], pa.string()), "centroids": pa.array([c.astype("<f4").tobytes()], pa.binary()), "floor": [floor]})
 
-    got = found.groupBy("lang").applyInArrow(solve, "lang string, centroids binary, floor double").collect()
+    got = found.groupBy("lang").applyInArrow(common.lean(solve), "lang string, centroids binary, floor double").collect()
     got.sort(key=lambda r: r["lang"])
     centres = [np.frombuffer(r["centroids"], "<f4").reshape(-1, DIMENSIONS) for r in got]
     each = [len(c) for c in centres]
@@ -193,7 +193,7 @@ def predicted(docs: DataFrame, model: Model, keep: list[str] | None = None) -> D
         T.StructField("score", T.DoubleType()),
         T.StructField("rejected", T.BooleanType()),
     ])
-    return packed.mapInArrow(predict, schema)
+    return common.mapped(packed, predict, schema)
 
 
 def filtered(docs: DataFrame) -> DataFrame:

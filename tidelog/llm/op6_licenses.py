@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: The base phrases and their labels.
 BASE = [
@@ -203,7 +203,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return rows.mapInArrow(run, out + ", detections array<struct<label:string,rule:string,first:bigint,words:bigint>>")
+    return common.mapped(rows, run, out + ", detections array<struct<label:string,rule:string,first:bigint,words:bigint>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tidelog.llm import common
 from tidelog.llm.components import components
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Shingles at most that count as frequent, those of the highest counts: their order is sent to tasks.
 MOST_FREQUENT = 1 << 19
 FREQUENT = 4
@@ -45,7 +45,7 @@ SUPPORT = 20
 PAIRED = 32
 #: Sets and shingles of a chunk at most, about.
 CHUNK_SETS = 2048
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 1_000_000
 #: A binary probe costs about this many steps of a merge.
 _PROBE_COST = 32
 
@@ -222,7 +222,7 @@ def classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
                 ["doc_id", "n", "f1", "f2", "tok", "docs"],
             )
 
-    both = common.stored(docs.mapInArrow(scan, "doc_id long, n long, f1 long, f2 long, tok long, docs long"), "classes")
+    both = common.stored(common.mapped(docs, scan, "doc_id long, n long, f1 long, f2 long, tok long, docs long"), "classes")
     return both.where("doc_id is not null").drop("tok", "docs"), both.where("tok is not null").groupBy("tok").agg(F.sum("docs").alias("docs"))
 
 
@@ -238,7 +238,7 @@ def _fingerprinted(rows: DataFrame, keep: str, measure: Measure) -> DataFrame:
             yield from out.to_batches()
 
     fields = [rows.schema["doc_id"], rows.schema[keep], *[T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")]]
-    return rows.mapInArrow(scan, T.StructType(fields))
+    return common.mapped(rows, scan, T.StructType(fields))
 
 
 def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFrame:
@@ -271,7 +271,7 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) ->
             once = np.unique(mixed(tok.view(np.uint64), 3) + node.view(np.uint64), return_index=True)[1]
             yield pa.RecordBatch.from_arrays([pa.array(tok[once]), pa.array(node[once]), pa.array(size[once])], ["tok", "node", "n"])
 
-    rows = docs.mapInArrow(prefixes, "tok long, node long, n long")
+    rows = common.mapped(docs, prefixes, "tok long, node long, n long")
     by_tok = W.partitionBy("tok")
     rows = rows.withColumn("docs", F.count("*").over(by_tok)).where("docs > 1")
     after = by_tok.orderBy("node").rowsBetween(1, PAIRED - 1)
@@ -344,7 +344,7 @@ def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, Dat
         out = {"a": ids[a[keep]], "b": ids[b[keep]], "class_a": f1[a[keep]], "class_b": f1[b[keep]], "shared": shared[keep].astype(np.int64)}
         return pa.table({k: pa.array(v) for k, v in out.items()})
 
-    found = cells.groupBy("cluster", "i", "j").applyInArrow(solve, "a long, b long, class_a long, class_b long, shared long")
+    found = cells.groupBy("cluster", "i", "j").applyInArrow(common.lean(solve), "a long, b long, class_a long, class_b long, shared long")
     own = ["doc_id", F.col("n").alias("n_shingles")]
     members = every.where("n > 0").join(reps.select("f1", "f2", "rep"), ["f1", "f2"]).select(*own, "rep", F.col("f1").alias("class"))
     return found, members.unionByName(every.where("n = 0").select(*own, F.col("doc_id").alias("rep"), F.col("f1").alias("class")))
@@ -360,7 +360,7 @@ def _named(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(f1[root[moved]]), "b": pa.array(f1[moved])})
 
-    linked = components(cells.groupBy("cluster", "i", "j").applyInArrow(solve, "a long, b long"))
+    linked = components(cells.groupBy("cluster", "i", "j").applyInArrow(common.lean(solve), "a long, b long"))
     linked = common.stored(linked.select(F.col("node").alias("f1"), "label"), "linked")
     own = F.struct("rep", "f1", "f2")
     least = reps.join(linked, "f1").groupBy("label").agg(F.min(own).alias("least"))

@@ -129,7 +129,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, f
             )
             number += 1
 
-    return common.stored(dealt.mapInArrow(put, "file string, part int, number int, docs long, ids long"), "manifest")
+    return common.stored(common.mapped(dealt, put, "file string, part int, number int, docs long, ids long"), "manifest")
 
 
 def _range_of(doc_id, cuts: list[int]):
@@ -189,7 +189,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     pa.array(bpe.crcs(held.ids(0, held.n_ids), held.offsets), pa.int64()),
                 ], ["file", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = found.mapInArrow(documents, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = common.mapped(found, documents, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
     return rows.join(based, "file").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
