@@ -104,3 +104,27 @@ def test_rows_that_share_a_doc_id(spark):
     assert [k for k in left if k not in (0, 4)] == [1, 5, 6, 7, 8, 9, 11, 13, 14] and len({0, 4} & set(left)) == 1
     pairs, _ = op7_ngram_join.links(docs)
     assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2), (1, 3), (6, 7)]
+
+
+def test_common_shingles_need_no_list(spark, monkeypatch):
+    """Passages that many documents share make neither links nor large clusters, whatever the tasks know in advance."""
+    rng = np.random.default_rng(8)
+    passages = [[f"p{k}w{i}" for i in range(25)] for k in range(12)]
+    rows = {}
+    for i in range(240):
+        own = [f"d{i}v{k}" for k in range(60)]
+        at = int(rng.integers(0, 60))
+        rows[i] = " ".join(own[:at] + passages[i % 12] + passages[(i // 12) % 12] + own[at:])
+    for i in range(240, 280):
+        words = rows[i % 7].split(" ")
+        words[int(rng.integers(0, len(words)))] = f"x{i}"
+        rows[i] = " ".join(words)
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    want, _ = brute.components(rows, 4, 85)
+    monkeypatch.setattr(op7_ngram_join, "PAIRED", 8)
+    monkeypatch.setattr(op7_ngram_join, "MOST_FREQUENT", 1)
+    made, edges = [], op7_ngram_join.candidate_edges
+    monkeypatch.setattr(op7_ngram_join, "candidate_edges", lambda *a: made.append(edges(*a)) or made[-1])
+    assert {r["doc_id"]: r["component_id"] for r in op7_ngram_join.near_duplicates(frame).collect()} == want
+    sizes = op7_ngram_join.components(made[0]).groupBy("label").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 2 * max(list(want.values()).count(c) for c in set(want.values()))

@@ -3,14 +3,18 @@
 1. Every text becomes its set of word shingles, as 64-bit hashes. Documents of equal sets are one
    class, named by its least doc_id.
 2. A pair that links shares some of the rarest shingles of both sets (the prefix filter); pairs that
-   do are put into one candidate cluster. Frequent shingles come last in the order of rarity; which
-   ones are frequent is counted in the tasks, and changes only what is tried.
-3. Clusters are solved apart: inverted lists of the cluster's sets, the short ones merged, the long
-   ones probed by binary search (DivideSkip), documents kept that reach the required overlap. A cluster
-   too large for a task is cut into chunks, and every pair of chunks is solved.
-4. links() gives every link between classes and each document's class. near_duplicates() gives the
-   connected components only; for these, pairs already connected are not tried again, so a group of
-   near copies costs no square of its size.
+   do are put into one candidate cluster. Common shingles, those in the prefixes of more than PAIRED
+   documents, come last in the order of rarity. Most are found by counting in the tasks and known in
+   advance; the prefixes that still hold another one are cut anew by a join with the table of common
+   shingles, until none does. What is known in advance changes the number of these rounds only.
+3. Clusters are solved apart: inverted lists of the cluster's sets, the short ones merged (by counting
+   places instead of a heap, as a list's entries are array elements), the long ones probed by binary
+   search (DivideSkip), documents kept that reach the required overlap. A cluster too large for a task
+   is cut into chunks.
+4. links() gives every link between classes and each document's class, so every pair of chunks is
+   solved. near_duplicates() gives the connected components only: every chunk is solved with the first
+   one, and only what is then outside its cluster's main component meets the other chunks. So a group
+   of near copies costs no square of its size.
 
 Null and empty texts have empty sets and link with nothing; equal rows are fine, and so are
 equal doc_ids, whatever their texts; a null doc_id is left out, but stays in one_of_each(); texts are
@@ -35,7 +39,7 @@ from tidelog.llm import common
 from tidelog.llm.components import components
 
 BATCH_BYTES = 4 << 20
-#: Shingles at most that count as frequent, those of the highest counts: their order is sent to tasks.
+#: Shingles at most that tasks know to be common before any round, those of the highest counts.
 MOST_FREQUENT = 1 << 19
 FREQUENT = 4
 FREQUENT_IN_BATCH = 2
@@ -80,7 +84,7 @@ class Measure:
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    x = x + np.uint64(salt) * _K
+    x = x + np.uint64(salt * int(_K) % 2**64)
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
@@ -178,10 +182,13 @@ def _overlapping(sets: list[np.ndarray], measure: Measure, label: np.ndarray | N
                 yield x, some[reached] + low, total[reached]
 
 
-def link(sets: list[np.ndarray], measure: Measure) -> np.ndarray:
-    """The least index that every set is connected to by links between sets of the list."""
+def link(sets: list[np.ndarray], measure: Measure, known: np.ndarray | None = None) -> np.ndarray:
+    """The least index that every set is connected to by links between sets of the list; ``known``: equal where sets are connected already."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     label = np.arange(len(sets))
+    if known is not None and len(sets):
+        _, first, code = np.unique(known[order], return_index=True, return_inverse=True)
+        label = first[code]
     for x, near, _ in _overlapping([sets[i] for i in order], measure, label):
         for y in near.tolist():
             a, b = sorted((label[x], label[y]))
@@ -241,16 +248,15 @@ def _fingerprinted(rows: DataFrame, keep: str, measure: Measure) -> DataFrame:
     return common.mapped(rows, scan, T.StructType(fields))
 
 
-def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFrame:
-    """(a, b): class hashes f1 of sets that may link.
+def _shingled(docs: DataFrame, frequent: np.ndarray, measure: Measure, whole: bool) -> DataFrame:
+    """tok, node (class hash f1), n, late, low of the prefixes of the documents, or of their whole sets.
 
-    If two sets overlap by t, their first n - t + s shingles in any common order share s or more. So
-    a pair that shares fewer is no candidate. Shingles of up to PAIRED documents count the pairs of
-    these; one of more documents joins them all by a star, whatever they share besides, so that no
-    group's pairs are listed. ``frequent`` are sorted shingles that come last in the order of rarity.
+    late: the shingle is one of ``frequent``, which come last in the order. Where more than PAIRED
+    documents of a batch have such a shingle in their prefixes, only the least of them stands for it
+    beyond the batch; the others give it as their ``low`` and have no tok.
     """
 
-    def prefixes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in common.batches(stream, BATCH_BYTES):
             flat, ends = shingle_sets(common.strings(rows["text"]), measure)
             if not len(flat):
@@ -258,31 +264,58 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) ->
             f1 = _sums(mixed(flat, 1), ends)
             n = np.diff(ends)
             doc = np.repeat(np.arange(len(n)), n)
+            late = np.zeros(len(flat), bool)
             if len(frequent):
-                place = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-                late = frequent[place] == flat
-                # Sets are sorted, so the stable order by (document, frequent) keeps each part sorted.
+                late = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat
+                # Sets are sorted, so the stable order by (document, late) keeps each part sorted.
                 order = np.argsort(doc * 2 + late, kind="stable")
-                flat = flat[order]
-            nth = np.arange(len(flat)) - np.repeat(ends[:-1], n)
-            keep = nth < np.repeat(measure.prefix(n), n)
-            # Copies within the block fold before they are dealt out.
-            tok, node, size = flat[keep].view(np.int64), f1[doc[keep]], n[doc[keep]]
-            once = np.unique(mixed(tok.view(np.uint64), 3) + node.view(np.uint64), return_index=True)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(tok[once]), pa.array(node[once]), pa.array(size[once])], ["tok", "node", "n"])
-
-    rows = common.mapped(docs, prefixes, "tok long, node long, n long")
+                flat, late = flat[order], late[order]
+            if not whole:
+                nth = np.arange(len(flat)) - np.repeat(ends[:-1], n)
+                keep = nth < np.repeat(measure.prefix(n), n)
+                flat, late, doc = flat[keep], late[keep], doc[keep]
+            # Copies within the batch fold before they are dealt out; the rows come in order of tok and node.
+            tok, node = flat.view(np.int64), f1[doc]
+            order = np.lexsort((node, tok))
+            tok, node, late, size = tok[order], node[order], late[order], n[doc[order]]
+            once = np.ones(len(tok), bool)
+            once[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
+            tok, node, late, size = tok[once], node[once], late[once], size[once]
+            first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+            many = np.diff(np.append(first, len(tok)))
+            hot = late & (np.repeat(many, many) > PAIRED) & (not whole)
+            rest = hot.copy()
+            rest[first] = False
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tok, mask=rest), pa.array(node), pa.array(size), pa.array(late), pa.array(np.repeat(node[first], many), mask=~rest), pa.array(hot)],
+                ["tok", "node", "n", "late", "low", "hot"],
+            )
+
+    return common.mapped(docs, scan, "tok long, node long, n long, late boolean, low long, hot boolean")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows of shingles that several documents have in their prefixes: node, n, late, and tok of those of more than PAIRED, with ``low``, or else near.
+
+    near: the next documents in order that have the shingle too. A stored table.
+    """
     by_tok = W.partitionBy("tok")
-    rows = rows.withColumn("docs", F.count("*").over(by_tok)).where("docs > 1")
+    met = rows.where("tok is not null").withColumn("docs", F.count("*").over(by_tok) + PAIRED * F.max(F.col("hot").cast("int")).over(by_tok))
     after = by_tok.orderBy("node").rowsBetween(1, PAIRED - 1)
-    rows = rows.withColumns({
+    met = met.where("docs > 1").withColumns({
         "low": F.min("node").over(by_tok),
         "near": F.when(F.col("docs") <= PAIRED, F.collect_list(F.struct("node", "n")).over(after)),
     })
-    # One stored table serves both kinds of edges.
-    rows = common.stored(rows.where("near is null and node <> low or size(near) > 0").select("node", "n", "low", "near"), "prefixes")
-    stars = rows.where("near is null").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    pairs = rows.where("near is not null").select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode("near").alias("o"))
+    shown = ["tok", "node", "n", "late", "low", "near"]
+    met = met.where("near is null or size(near) > 0").select(*shown)
+    folded = rows.where("tok is null").select("tok", "node", "n", "late", "low", F.lit(None).cast("array<struct<node:bigint,n:bigint>>").alias("near"))
+    return common.stored(met.unionByName(folded), "prefixes")
+
+
+def _edges(met: DataFrame, measure: Measure) -> DataFrame:
+    """(a, b): classes that share ``support`` shingles of up to PAIRED documents in their prefixes, or a common one after all others."""
+    stars = met.where("near is null and late and node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    pairs = met.where("near is not null").select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode("near").alias("o"))
     small, large = F.least("na", "o.n"), F.greatest("na", "o.n")
     pairs = pairs.where((F.col("a") != F.col("o.node")) & (small * 100 >= large * measure.percent))
     pairs = pairs.groupBy("a", F.col("o.node").alias("b")).agg(F.count("*").alias("shared"), F.min(small).alias("small"))
@@ -290,30 +323,66 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) ->
     return stars.unionByName(pairs)
 
 
-def _cells(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every document's class, the classes by their least doc_id, and the texts of each cell to be solved."""
+def candidate_edges(docs: DataFrame, every: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFrame:
+    """(a, b): class hashes f1 of sets that may link.
+
+    If two sets overlap by t, their first n - t + s shingles in any common order share s or more. So
+    a pair that shares fewer is no candidate. Shingles of up to PAIRED documents count the pairs of
+    these. A common one moves to the end of the order: the sets that had it in their prefix are cut
+    anew, by a join with the table of all common shingles. It joins its documents by a star only
+    where a prefix has nothing else left, as among near copies, so that no group's pairs are listed.
+    ``frequent``: sorted shingles that are at the end of the order from the beginning.
+    """
+    first = met = _met(_shingled(docs, frequent, measure, False))
+    late = moved = None
+    while True:
+        hubs = common.stored(met.where("near is null and not late").select("tok", "node").distinct(), "hubs")
+        if hubs.isEmpty():
+            return _edges(first, measure) if met is first else _edges(first, measure).unionByName(_edges(met, measure))
+        late = common.stored(hubs.select("tok").distinct() if late is None else late.unionByName(hubs.select("tok")).distinct(), "late")
+        moved = common.stored(hubs.select("node").distinct() if moved is None else moved.unionByName(hubs.select("node")).distinct(), "moved")
+        # One document of each set that moves is read again, whole.
+        chosen = every.join(moved.select(F.col("node").alias("f1")), "f1", "left_semi").groupBy("f1").agg(F.min("doc_id").alias("doc_id"))
+        texts = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+        sets = _shingled(texts, frequent, measure, True).join(moved, "node", "left_semi").groupBy("node", "tok").agg(F.min("n").alias("n"), F.max("late").alias("late"))
+        sets = sets.join(late.withColumn("known", F.lit(True)), "tok", "left").withColumn("late", F.col("late") | F.col("known").isNotNull())
+        # Hashes are in order as unsigned numbers, as in the tasks.
+        nth = F.row_number().over(W.partitionBy("node").orderBy("late", F.col("tok") < 0, "tok"))
+        upto = F.col("n") - F.ceil(F.col("n") * measure.percent / 100) + F.floor(F.col("n") / SUPPORT) + 1
+        again = sets.withColumn("nth", nth).where(F.col("nth") <= upto)
+        again = common.stored(again.select("tok", "node", "n", "late", F.lit(None).cast("long").alias("low"), F.lit(False).alias("hot")), "again")
+        others = _shingled(docs, frequent, measure, False).where("tok is not null").join(moved, "node", "left_anti")
+        others = others.join(again.select("tok").distinct(), "tok", "left_semi")
+        met = _met(again.unionByName(others.select(*again.columns)))
+
+
+def _placed(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every document's class; the classes by their least doc_id; those in clusters, with their chunk c of ``chunks``; the documents' texts."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every, counted = classes(rows, measure)
     top = counted.where(F.col("docs") >= FREQUENT).orderBy(F.desc("docs"), "tok").limit(MOST_FREQUENT).select("tok").toArrow()
     frequent = np.sort(np.asarray(top["tok"].combine_chunks(), np.int64).view(np.uint64))
-    clusters = components(candidate_edges(rows, frequent, measure))
+    clusters = components(candidate_edges(rows, every, frequent, measure))
     reps = every.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     reps = common.stored(reps, "reps")
     members = reps.join(clusters.select(F.col("node").alias("f1"), F.col("label").alias("cluster")), "f1").select("f1", "f2", "rep", "n", "cluster")
     members = common.stored(members, "members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
-    chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("shingles") / CHUNK_SHINGLES))
-    sizes = common.stored(sizes.select("cluster", chunks.cast("int").alias("chunks")), "sizes")
+    sizes = common.stored(sizes.select("cluster", _chunks("sets", "shingles").alias("chunks")), "sizes")
     place = F.pmod(F.xxhash64("f1", "f2"), "chunks").cast("int").alias("c")
-    placed = members.join(sizes, "cluster").select("f1", "f2", F.col("rep").alias("doc_id"), "cluster", "chunks", place)
+    placed = members.join(sizes, "cluster").select("f1", "f2", F.col("rep").alias("doc_id"), "n", "cluster", "chunks", place)
+    return every, reps, placed, rows
+
+
+def _chunks(sets: str, shingles: str):
+    return F.greatest(F.ceil(F.col(sets) / CHUNK_SETS), F.ceil(F.col(shingles) / CHUNK_SHINGLES)).cast("int")
+
+
+def _texts(rows: DataFrame, placed: DataFrame, measure: Measure) -> DataFrame:
+    """``placed`` with the text of each class."""
     # A doc_id may have several texts: of its rows, each class takes one whose set is its own.
     named = rows.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
-    texts = _fingerprinted(named, "text", measure).dropDuplicates(["doc_id", "f1", "f2"]).join(placed, ["doc_id", "f1", "f2"])
-    # A cell holds two chunks, or the only one; each two chunks meet in one cell, which solves all pairs in it.
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cells = texts.withColumn("d", other).where((F.col("chunks") == 1) | (F.col("c") != F.col("d")))
-    cells = cells.select("cluster", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "doc_id", "f1", "text")
-    return every, reps, cells
+    return _fingerprinted(named, "text", measure).dropDuplicates(["doc_id", "f1", "f2"]).drop("n").join(placed, ["doc_id", "f1", "f2"])
 
 
 def _sets(group: pa.Table, measure: Measure) -> tuple[pa.Table, list[np.ndarray]]:
@@ -332,7 +401,11 @@ def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, Dat
     pair. No link is left out for being implied by others, so a group of g classes that all link
     gives g (g - 1) / 2 rows; near_duplicates() is for those who need the groups only.
     """
-    every, reps, cells = _cells(docs, measure)
+    every, reps, placed, rows = _placed(docs, measure)
+    # A cell holds two chunks, or the only one; each two chunks meet in one cell, which solves all pairs in it.
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    cells = _texts(rows, placed, measure).withColumn("d", other).where((F.col("chunks") == 1) | (F.col("c") != F.col("d")))
+    cells = cells.select("cluster", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "doc_id", "f1", "text")
 
     def solve(group: pa.Table) -> pa.Table:
         group, sets = _sets(group, measure)
@@ -350,17 +423,43 @@ def links(docs: DataFrame, measure: Measure = Measure()) -> tuple[DataFrame, Dat
     return found, members.unionByName(every.where("n = 0").select(*own, F.col("doc_id").alias("rep"), F.col("f1").alias("class")))
 
 
+def _beyond(rows: DataFrame, large: DataFrame, edges: DataFrame, measure: Measure) -> DataFrame:
+    """Cells of what ``edges`` leave open in clusters of several chunks: sets outside the main component with the chunks other than the first."""
+    known = large.join(components(edges).select(F.col("node").alias("f1"), "label"), "f1", "left").withColumn("label", F.coalesce("label", "f1"))
+    known = common.stored(known, "known")
+    size = known.groupBy("cluster", "label").agg(F.count("*").alias("sets"))
+    main = size.groupBy("cluster").agg(F.max_by("label", F.struct("sets", "label")).alias("main"))
+    outside = known.join(main, "cluster").where("label <> main").drop("main", "chunks")
+    groups = outside.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).select("cluster", _chunks("sets", "shingles").alias("groups"))
+    groups = common.stored(groups, "groups")
+    texts = common.stored(_texts(rows, known.join(groups, "cluster"), measure), "texts")
+    own = texts.where("c > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("j", F.col("c"))
+    apart = texts.join(outside.select("f1", "f2"), ["f1", "f2"], "left_semi")
+    apart = apart.withColumn("i", F.pmod(F.xxhash64("f2", "f1"), "groups").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)))
+    shown = ["cluster", "i", "j", "doc_id", "f1", "label", "text"]
+    return own.select(*shown).unionByName(apart.where("c <> j").select(*shown))
+
+
 def _named(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, f1, f2) of every document; (f1, f2, component_id, first) of the classes, first: of its component's classes the one to keep."""
-    every, reps, cells = _cells(docs, measure)
+    every, reps, placed, rows = _placed(docs, measure)
 
     def solve(group: pa.Table) -> pa.Table:
         group, sets = _sets(group, measure)
-        f1, root = np.asarray(group["f1"], np.int64), link(sets, measure)
+        f1 = np.asarray(group["f1"], np.int64)
+        root = link(sets, measure, np.asarray(group["label"], np.int64))
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(f1[root[moved]]), "b": pa.array(f1[moved])})
 
-    linked = components(cells.groupBy("cluster", "i", "j").applyInArrow(common.lean(solve), "a long, b long"))
+    solved = lambda cells: cells.groupBy("cluster", "i", "j").applyInArrow(common.lean(solve), "a long, b long")
+    # Every chunk meets the first one; the first one meets them all.
+    with_first = F.when(F.col("c") > 0, F.array("c")).when(F.col("chunks") > 1, F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))
+    cells = _texts(rows, placed, measure).select("cluster", F.lit(0).alias("i"), F.explode(with_first).alias("j"), "doc_id", "f1", F.col("f1").alias("label"), "text")
+    edges = common.stored(solved(cells), "solved")
+    large = common.stored(placed.where("chunks > 2"), "large")
+    if not large.isEmpty():
+        edges = edges.unionByName(solved(_beyond(rows, large, edges, measure)))
+    linked = components(edges)
     linked = common.stored(linked.select(F.col("node").alias("f1"), "label"), "linked")
     own = F.struct("rep", "f1", "f2")
     least = reps.join(linked, "f1").groupBy("label").agg(F.min(own).alias("least"))
