@@ -17,6 +17,8 @@ from tidelog.functions.hashing import crc_hex, xxh64_hex
 CRC_CLASSES = ("none", "header", "full", "payload_hash")
 LEVELS = ("INFO", "WARN", "ERROR")
 _PAYLOAD_MARK = "\tpayload="
+#: A key may be spelled with escapes, so a backslash also asks for a parse.
+_ENVELOPE_KEYS = r'"(?:message|agent_id|source_id|source_offset|ingest_timestamp|attributes)"|\\u'
 
 FIELDS = ["crc", "timestamp", "shard", "has_sequence", "sequence", "level", "payload", "agent_id", "source_id", "source_offset", "ingest_timestamp", "attributes"]
 
@@ -70,10 +72,11 @@ def encoded(fmt: RecordFormat, timestamp: Column, shard: Column, sequence: Colum
     return body
 
 
-def field(tokens: Column, key: str) -> Column:
-    """Value of the first token that begins with ``key=``, null if none."""
+def field(body: Column, key: str) -> Column:
+    """Value of the first TAB-separated token that begins with ``key=``, null if none."""
     mark = f"{key}="
-    return F.substring(F.get(F.filter(tokens, lambda t: t.startswith(mark)), 0), len(mark) + 1, 2**31 - 1)
+    found = F.regexp_extract(body, rf"(?:^|\t)({mark}[^\t]*)", 1)
+    return F.when(found != "", F.substring(found, len(mark) + 1, 2**31 - 1))
 
 
 def _whole_number(text: Column, most: int) -> Column:
@@ -95,10 +98,9 @@ def decoded(lines: DataFrame, column: str = "line", hashes: bool = True) -> Data
         "_crc": F.when(has_crc, mark),
         "_body": F.when(has_crc, F.when(mark != "", F.substring(line, F.length(mark) + 6, 2**31 - 1))).otherwise(line),
     })
-    rows = rows.withColumn("_tokens", F.split("_body", "\t"))
-    body, tokens, crc = F.col("_body"), F.col("_tokens"), F.lower("_crc")
+    rows = rows.withColumn("_payload", field(F.col("_body"), "payload"))
+    body, crc, payload = F.col("_body"), F.lower("_crc"), F.col("_payload")
     head = F.substring_index(body, _PAYLOAD_MARK, 1)
-    payload = field(tokens, "payload")
     digest = F.substring(crc, 12, 16)
     kept = xxh64_hex(F.coalesce(payload, F.lit(""))) == digest if hashes else F.lit(True)
     intact = (
@@ -110,11 +112,12 @@ def decoded(lines: DataFrame, column: str = "line", hashes: bool = True) -> Data
     )
     rows = rows.withColumns({
         "_intact": intact,
-        "_ts": field(tokens, "ts"),
-        "_shard": field(tokens, "shard"),
-        "_seq": field(tokens, "seq"),
-        "_level": field(tokens, "level"),
-        "_payload": payload,
+        "_ts": field(body, "ts"),
+        "_shard": field(body, "shard"),
+        "_seq": field(body, "seq"),
+        "_level": field(body, "level"),
+        # A filter on ``valid`` also names this column, so it stays above; pushed below, it would work everything out again.
+        "_row": F.monotonically_increasing_id(),
     })
     shard, seq = _whole_number(F.col("_shard"), 2**32 - 1), _whole_number(F.col("_seq"), 2**63 - 1)
     readable = (
@@ -124,7 +127,7 @@ def decoded(lines: DataFrame, column: str = "line", hashes: bool = True) -> Data
     )
     digits = F.when(crc.startswith("h:") | crc.startswith("x:"), F.substring(crc, 3, 8)).otherwise(crc)
     rows = rows.withColumns({
-        "valid": F.coalesce(F.col("_intact") & readable, F.lit(False)),
+        "valid": F.coalesce(F.col("_intact") & readable & (F.col("_row") >= 0), F.lit(False)),
         "crc": F.coalesce(F.conv(F.when(digits != "", digits), 16, 10).cast("long"), F.lit(0)),
         "timestamp": F.coalesce("_ts", F.lit("")),
         "shard": F.coalesce(shard, F.lit(0)),
@@ -133,17 +136,28 @@ def decoded(lines: DataFrame, column: str = "line", hashes: bool = True) -> Data
         "level": F.coalesce("_level", F.lit("INFO")),
         "payload": F.coalesce("_payload", "_body", F.lit("")),
     })
-    rows = rows.drop("_crc", "_body", "_tokens", "_intact", "_ts", "_shard", "_seq", "_level", "_payload")
+    rows = rows.drop("_crc", "_body", "_intact", "_ts", "_shard", "_seq", "_level", "_payload", "_row")
     return unwrapped(rows)
 
 
+def sequence_of(line: Column) -> Column:
+    """The sequence number of a line, null without a readable one; nothing else is decoded or verified."""
+    return _whole_number(field(F.substring_index(line, _PAYLOAD_MARK, 1), "seq"), 2**63 - 1)
+
+
+def level_name(code: Column) -> Column:
+    """INFO, WARN or ERROR for 0, 1 and 2, otherwise UNKNOWN."""
+    return F.coalesce(F.get(F.array(*[F.lit(x) for x in LEVELS]), code.cast("int")), F.lit("UNKNOWN"))
+
+
 def unwrapped(rows: DataFrame) -> DataFrame:
     """Take the agent's envelope off payloads that are JSON objects holding one of its keys.
 
     Only values of the right JSON kind count: a message that is a number is no message.
     """
-    v = F.when(F.col("payload").startswith("{"), F.try_parse_json("payload"))
-    rows = rows.withColumn("_v", v)
+    # A payload without any of the keys is no envelope and is not parsed.
+    named = F.col("payload").startswith("{") & F.col("payload").rlike(_ENVELOPE_KEYS)
+    rows = rows.withColumn("_v", F.when(named, F.try_parse_json("payload")))
 
     def text(key: str) -> Column:
         inner = F.try_variant_get("_v", f"$.{key}", "variant")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.sources import segments as seg
@@ -49,8 +50,8 @@ def _whole(name: str, text: str) -> int:
     return int(text)
 
 
-def matching(rows: DataFrame, q: ReadQuery) -> DataFrame:
-    """Records that meet the query's conditions on records."""
+def condition(q: ReadQuery) -> Column:
+    """The query's conditions on records."""
     tests = []
     if q.seq_from is not None:
         tests.append(F.col("has_sequence") & (F.col("sequence") >= q.seq_from))
@@ -64,13 +65,16 @@ def matching(rows: DataFrame, q: ReadQuery) -> DataFrame:
         tests.append(F.col("source_id") == q.source_id)
     if q.agent_id is not None:
         tests.append(F.col("agent_id") == q.agent_id)
-    for test in tests:
-        rows = rows.where(test)
-    return rows
+    return reduce(Column.__and__, tests, F.lit(True))
+
+
+def matching(rows: DataFrame, q: ReadQuery) -> DataFrame:
+    """Records that meet the query's conditions on records."""
+    return rows.where(condition(q))
 
 
 def read_records(spark: SparkSession, log_dir: str, archive_dir: str | None, prefix: str, q: ReadQuery) -> DataFrame:
     """Records of the segments in file order. Shards and archives that the query excludes are never listed or opened."""
     found = seg.segments(spark, log_dir, archive_dir if q.include_archive else None, prefix, q.shard)
-    rows = matching(seg.records(spark, found), q).orderBy(*seg.segment_order(), "line_no")
+    rows = seg.records(spark, found, condition(q)).orderBy(*seg.segment_order(), "line_no")
     return rows if q.limit is None else rows.limit(q.limit)

@@ -6,11 +6,12 @@ An active segment is ``<prefix>-<shard>.log`` in the log folder, an archived one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.codec import decoded
+from tidelog.sources.maintenance import gzip_errors
 
 
 def described(files: DataFrame, prefix: str, path: str = "path") -> DataFrame:
@@ -75,71 +76,68 @@ def segments(spark: SparkSession, log_dir: str, archive_dir: str | None, prefix:
     return found if shard is None else found.where(F.col("shard_id") == shard)
 
 
-_LINES = "seg_path string, line_no long, line string"
+_LINES = "seg_path string, line_no struct<part:bigint,nth:bigint>, line string"
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """seg_path, line_no (from 0 in each file) and line of text files, split at line feeds only.
+    """seg_path, line_no and line of text files, split at line feeds only.
 
-    A task reads a whole number of files' splits, and line numbers count within a file: long files
-    are split by Spark and numbered by split, so no file is one task's work. Unreadable ends of
-    compressed files are left out, what came before stays; vanished files are skipped.
+    line_no orders the lines of a file: where Spark's split of the file begins, and the line's place in
+    the task, which rises within a split. So long files are split, and no shuffle numbers their lines.
+    Unreadable ends of compressed files are left out, what came before stays; vanished files are skipped.
     """
     if not paths:
         return spark.createDataFrame([], _LINES)
     read = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     rows = read.text(paths).select(
         F.col("_metadata.file_path").alias("seg_path"),
-        F.col("_metadata.file_block_start").alias("_from"),
-        F.monotonically_increasing_id().alias("_id"),
+        F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("nth")).alias("line_no"),
         F.col("value").alias("line"),
     )
-    # Ids rise with the lines of a split; splits of a file are put in order by where they start.
-    per_split = W.partitionBy("seg_path", "_from").orderBy("_id")
-    rows = rows.withColumn("_n", F.row_number().over(per_split) - 1)
-    sizes = rows.groupBy("seg_path", "_from").agg(F.count("*").alias("_rows"))
-    before = W.partitionBy("seg_path").orderBy("_from").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select("seg_path", "_from", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
-    numbered = rows.join(sizes, ["seg_path", "_from"]).withColumn("line_no", F.col("_base") + F.col("_n"))
     # Space that a writer has set aside at a live file's end is no line.
-    return numbered.where("line = '' or rtrim(char(0), line) <> ''").select("seg_path", "line_no", "line")
+    return rows.where("line = '' or rtrim(char(0), line) <> ''")
 
 
 def before_damage(rows: DataFrame) -> DataFrame:
     """The rows of each segment before its first invalid line.
 
-    The first damage of a segment is an aggregate, so no segment is sorted or held by one task.
+    Rows are read once and dealt by segment, whose size rotation bounds; nothing is sorted.
     """
-    first = rows.where("not valid").groupBy("seg_path").agg(F.min("line_no").alias("_bad"))
-    return rows.join(first, "seg_path", "left").where("_bad is null or line_no < _bad").drop("_bad")
+    first = F.min(F.when(~F.col("valid"), F.col("line_no"))).over(W.partitionBy("seg_path"))
+    return rows.withColumn("_bad", first).where("_bad is null or line_no < _bad").drop("_bad")
 
 
-def records(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """Records of the segments ``found`` up to each one's first damage, with the segment's columns for ordering."""
+def records(spark: SparkSession, found: DataFrame, test: Column | None = None) -> DataFrame:
+    """Records of the segments ``found`` up to each one's first damage that meet ``test``, with the segment's columns for ordering.
+
+    What the test drops is dropped before anything moves; invalid lines stay until each segment's first is known.
+    """
     # The catalog of segments is the scan list, as in any file scan; it is small beside the files.
     paths = [r["path"] for r in found.select("path").collect()]
     rows = decoded(lines(spark, paths))
+    if test is not None:
+        rows = rows.where(~F.col("valid") | test)
     catalog = found.select(F.col("path").alias("seg_path"), "shard_id", "archived", "timestamp_ms", "rotation_index")
     return before_damage(rows).join(catalog, "seg_path").withColumnRenamed("seg_path", "path")
 
 
 def read_statistics(spark: SparkSession, found: DataFrame) -> DataFrame:
-    """One row of counters: segments read by kind, records before damage, damaged segments and lines."""
-    paths = [r["path"] for r in found.select("path").collect()]
-    rows = decoded(lines(spark, paths)).select("seg_path", "line_no", "valid")
-    first = rows.groupBy("seg_path").agg(F.min(F.when(~F.col("valid"), F.col("line_no"))).alias("bad"), F.count("*").alias("n"))
-    returned = F.coalesce("bad", "n")
-    sums = first.agg(
-        F.coalesce(F.sum(returned), F.lit(0)).alias("records_returned"),
-        F.count("bad").alias("corrupted_segments"),
-        F.count("bad").alias("corrupted_lines"),
+    """One row of counters: segments read by kind, records before damage, damaged segments and lines, unreadable compressed files."""
+    files = found.select("path", "archived", "compressed").collect()
+    rows = decoded(lines(spark, [r["path"] for r in files])).select("seg_path", "line_no", "valid")
+    bad = F.min(F.when(~F.col("valid"), F.col("line_no"))).over(W.partitionBy("seg_path"))
+    rows = rows.withColumn("bad", bad)
+    sums = rows.agg(
+        F.count_if(F.col("bad").isNull() | (F.col("line_no") < F.col("bad"))).alias("records_returned"),
+        F.count_if(F.col("line_no") == F.col("bad")).alias("corrupted_lines"),
     )
-    kinds = found.agg(
-        F.count("*").alias("segments_read"),
-        F.count_if("archived").alias("archive_segments_read"),
-        F.count_if(~F.col("archived")).alias("active_segments_read"),
+    broken = gzip_errors(spark, [r["path"] for r in files if r["compressed"]]).where("not intact").count()
+    kinds = {True: sum(r["archived"] for r in files), False: sum(not r["archived"] for r in files)}
+    return sums.select(
+        F.lit(len(files)).cast("long").alias("segments_read"), F.lit(kinds[True]).cast("long").alias("archive_segments_read"),
+        F.lit(kinds[False]).cast("long").alias("active_segments_read"), "records_returned",
+        (F.col("corrupted_lines") + broken).alias("corrupted_segments"), "corrupted_lines", F.lit(broken).cast("long").alias("gzip_read_errors"),
     )
-    return kinds.join(sums)
 
 
 def verified_prefix(rows: DataFrame) -> DataFrame:
