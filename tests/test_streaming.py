@@ -7,7 +7,9 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.agent import Agent
 from tidelog.config import EngineConfig
+from tidelog.log import Writer
 from tidelog.operators import delivery, ingest, rules
 from tidelog.plans.records import ReadQuery, read_records
 from tidelog.streaming import pipelines, sources
@@ -147,3 +149,93 @@ def test_streaming_plans(spark, tmp_path):
     sent = stream.select("timestamp", F.lit("a").alias("agent_id"), F.lit(0).alias("shard"), F.col("value").alias("first_sequence"), F.col("value").alias("next_sequence"))
     assert pipelines.deduplicated(sent, "timestamp").isStreaming
     pytest.importorskip("pandas")
+
+
+def _wait(done, seconds=60):
+    until = time.time() + seconds
+    while not done() and time.time() < until:
+        time.sleep(0.2)
+    assert done()
+
+
+def test_quiet_record_is_given_out(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"source_id": "s", "source_offset": 0, "line": "START only"}))
+    stream = spark.readStream.schema("source_id string, source_offset long, line string").json(str(tmp_path / "in"))
+    merged = pipelines.multiline(stream, "source_id", "START", 10, quiet_ms=1000)
+    q = merged.writeStream.format("memory").queryName("quiet").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="2 seconds").start()
+    try:
+        _wait(lambda: [r["record"] for r in spark.table("quiet").collect()] == ["START only"])
+    finally:
+        q.stop()
+
+
+def test_writers_of_one_folder_lose_nothing(spark, tmp_path):
+    config = EngineConfig(log_dir=str(tmp_path / "l"), archive_dir=str(tmp_path / "a"), shards=1)
+    for text in ("one", "two"):
+        writer = Writer(spark, config)
+        writer.info(text)
+        writer.flush()
+    read = lambda: [(r["sequence"], r["payload"]) for r in read_records(spark, config.log_dir, config.archive_dir, "shard", ReadQuery(limit=None)).collect()]
+    assert read() == [(0, "one"), (1, "two")]
+    append, writer._append = writer._append, lambda *_: 1 / 0
+    writer.info("three")
+    with pytest.raises(ZeroDivisionError):
+        writer.flush()
+    assert writer.metrics["flush_errors"] == 1 and writer.metrics["pending_entries"] == 1
+    writer._append = append
+    writer.info("four")
+    writer.flush()
+    writer.flush()
+    assert read() == [(0, "one"), (1, "two"), (2, "three"), (3, "four")]
+    for checkpoint in ("c1", "c2"):
+        (tmp_path / f"in-{checkpoint}").mkdir()
+        (tmp_path / f"in-{checkpoint}" / "x.txt").write_text(f"from {checkpoint}\n")
+        rows = spark.readStream.text(str(tmp_path / f"in-{checkpoint}")).selectExpr("'' as route_key", "'INFO' as level", "value as payload", "0L as n")
+        q = rows.writeStream.foreachBatch(pipelines.appender(config)).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert read()[4:] == [(4, "from c1"), (5, "from c2")]
+
+
+def test_agent_from_source_to_sink(spark, tmp_path):
+    config = EngineConfig(log_dir=str(tmp_path / "l"), archive_dir=str(tmp_path / "a"), shards=2, sink_batch_size=3, compress_archives=True)
+    (tmp_path / "l").mkdir()
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (tmp_path / "app.log").write_text("line 1\nline 2\n")
+    sent, fail = [], [2]
+
+    def send(body):
+        if fail[0]:
+            fail[0] -= 1
+            raise OSError("away")
+        sent.append(json.loads(body))
+
+    agent = Agent(spark, config, send, "a1", pause=0.05)
+    (landing / "1.txt").write_text('{"records":[{"message":"m1","route_key":"k"},{"message":"m2"}]}')
+    agent.start(str(landing), [str(tmp_path / "app.log")])
+    try:
+        _wait(lambda: agent.stats["source_committed"] >= 4)
+        (landing / "2.txt").write_text("plain text")
+        _wait(lambda: agent.stats["source_committed"] >= 5)
+        until = time.time() + 90
+        agent.deliver(lambda: len({m["message"] for b in sent for m in b["records"]}) >= 5 or time.time() > until)
+    finally:
+        agent.stop()
+    got = sorted(m["message"] for b in sent for m in b["records"])
+    assert got == ["line 1", "line 2", "m1", "m2", "plain text"]
+    assert agent.stats["sink_failed"] == 2 and agent.stats["sink_sent"] == 5 and agent.stats["sink_dispatch_active_workers"] == 0
+    from tidelog.sources import state
+
+    after = state.read_offsets(agent.state)
+    assert sum(after.values()) == 5 and all(state.read_pending(agent.state, s) is None for s in (0, 1))
+    # A batch that was stored but perhaps not sent goes out first.
+    again = Agent(spark, config, send, "a1")
+    again.state.write("pending", state.PendingBatch(0, 0, 1, ("again",)).text())
+    again.round()
+    assert sent[-1]["records"] == [{"sequence": 0, "message": "again"}] and again.state.read("pending") is None
+    again.limits = {"sink_failures": 1}
+    again._failures[0] = 1
+    assert again.pressure() == "sink_failures"
+    again.wait(0.3)
+    assert again.status()["backpressure_reason"] == "sink_failures" and again.stats["backpressure_pause_duration_ms"] >= 200

@@ -23,6 +23,7 @@ class EngineConfig:
     record_level: bool = True
     crc_class: str = "full"
     rotate_size_bytes: int = 256 << 20
+    rotate_interval_seconds: int = 0
     compress_archives: bool = False
     retention_seconds: int = 0
     max_archived_files_per_shard: int = 0
@@ -36,7 +37,7 @@ class EngineConfig:
         for name in ("virtual_nodes", "sink_batch_size"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be positive")
-        for name in ("shards", "rotate_size_bytes", "retention_seconds", "max_archived_files_per_shard"):
+        for name in ("shards", "rotate_size_bytes", "rotate_interval_seconds", "retention_seconds", "max_archived_files_per_shard"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative")
         self.format  # noqa: B018  checks the checksum class

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,6 +68,13 @@ def delivery_json(agent_id: Column) -> Column:
     )
 
 
+def body_text(agent_id: str, shard: int, first_sequence: int, next_sequence: int, records: tuple[str, ...]) -> str:
+    """The text of delivery_json() for a batch that the driver holds."""
+    rows = [{"sequence": first_sequence + i, "message": r} for i, r in enumerate(records)]
+    body = {"agent_id": agent_id, "shard": shard, "first_sequence": first_sequence, "next_sequence": next_sequence, "records": rows}
+    return json.dumps(body, ensure_ascii=False, separators=(",", ":"))
+
+
 def kafka_json(topic: Column, agent_id: Column) -> Column:
     """A batch as the message that a Kafka side process sends: topic, key and value."""
     key = F.concat_ws(":", F.col("shard").cast("string"), F.col("first_sequence").cast("string"))

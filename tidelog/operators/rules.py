@@ -20,6 +20,8 @@ UNHEALTHY = (
     ("corrupted_segments", 10),
     ("corrupted_lines", 10),
 )
+# Pressures in order of priority.
+PRESSURES = ("disk_quota", "pending_bytes", "sink_backlog", "sink_failures", "sink_latency", "sink_latency_average")
 DEGRADED = ("recovery_fallbacks", "gzip_read_errors", "corrupted_segments", "corrupted_lines")
 
 
@@ -56,11 +58,15 @@ def health_reason() -> Column:
     return out
 
 
+def health_basis() -> Column:
+    """What the health reason rests on: the recent window, or none."""
+    return F.when(health_reason() == "none", "none").otherwise("recent_window")
+
+
 def backpressure(limits: dict[str, int]) -> Column:
     """The first pressure at or over its limit, in order of priority; none if all are below. A limit of 0 is off."""
-    order = ("disk_quota", "pending_bytes", "sink_backlog", "sink_failures", "sink_latency", "sink_latency_average")
     out = F.lit("none")
-    for name in reversed(order):
+    for name in reversed(PRESSURES):
         most = limits.get(name, 0)
         if most:
             out = F.when(F.col(name) >= most, name).otherwise(out)

@@ -34,6 +34,17 @@ _SEGMENTS = """placed AS (
          sequence % 997 = 300 AS bad FROM full_lines),
 cut AS (SELECT *, min(line_no) FILTER (bad) OVER (PARTITION BY seg_path) AS first_bad FROM placed)"""
 
+#: Files of 500 lines; a checksum of its class adds so many bytes to a line; damage shows where there is one.
+_STORED = f"""sized AS (
+  SELECT *, sequence // 500 AS block, max(sequence // 500) OVER (PARTITION BY shard) AS last, sequence % 997 = 300 AND shard < 3 AS bad,
+    octet_length(encode({_META} || chr(9) || 'payload=' || payload)) + 1 + CASE shard WHEN 0 THEN 13 WHEN 1 THEN 15 WHEN 2 THEN 32 ELSE 0 END AS size FROM rec),
+stored AS (
+  SELECT *, block <> last AS archived, CASE WHEN block = last THEN 'shard-' || shard || '.log'
+    ELSE 'shard-' || shard || '.' || (block + 1000) || '.0.log' || CASE WHEN block % 2 = 0 THEN '.gz' ELSE '' END END AS file,
+    min(sequence) FILTER (bad) OVER (PARTITION BY shard, block) AS first_bad FROM sized),
+intact AS (SELECT * FROM stored WHERE first_bad IS NULL OR sequence < first_bad)"""
+_INTACT = "shard, sequence, timestamp, level, payload, archived, file"
+
 _FILES = """stems AS (
   SELECT *, '/var/log/shard-' || (o_custkey % 4) AS stem, '.' || (1000 + o_custkey % 50) || '.' || (o_orderkey % 9) AS stamp FROM orders),
 files AS (
@@ -95,6 +106,15 @@ ORACLES: dict[str, str] = {
     "records_by_agent": f"{_WITH}SELECT {_SHOWN} FROM rec WHERE agent_id = 'agent-3' AND sequence <= 900",
     "records_empty_predicate": f"{_WITH}SELECT {_SHOWN} FROM rec WHERE source_id = '' ORDER BY shard, sequence LIMIT 100",
     "records_limit_zero": f"{_WITH}SELECT {_SHOWN} FROM rec LIMIT 0",
+    "segments_read_back": f"{_WITH}, {_STORED} SELECT {_INTACT} FROM intact",
+    "segments_file_order": f"{_WITH}, {_STORED} SELECT {_INTACT} FROM intact WHERE shard = 2 AND sequence >= 480 ORDER BY sequence LIMIT 100",
+    "segments_active_only": f"{_WITH}, {_STORED} SELECT {_INTACT} FROM intact WHERE NOT archived",
+    "segments_statistics": f"""{_WITH}, {_STORED} SELECT count(DISTINCT file) AS segments_read, count(DISTINCT file) FILTER (archived) AS archive_segments_read,
+  count(DISTINCT file) FILTER (NOT archived) AS active_segments_read, count(*) FILTER (first_bad IS NULL OR sequence < first_bad) AS records_returned,
+  count(*) FILTER (sequence = first_bad) AS corrupted_segments, count(*) FILTER (sequence = first_bad) AS corrupted_lines, 0::BIGINT AS gzip_read_errors FROM stored""",
+    "segments_verify": f"""{_WITH}, {_STORED} SELECT file, count(*) AS valid_records, max(sequence) + 1 AS next_sequence, CAST(sum(size) AS BIGINT) AS valid_size FROM intact GROUP BY file""",
+    "segments_recovery": f"""{_WITH}, {_STORED}, e AS (SELECT shard, max(sequence) + 1 AS next_sequence, CAST(sum(size) AS BIGINT) AS logical_size FROM intact WHERE NOT archived GROUP BY shard)
+SELECT DISTINCT shard, 'full_scan_incomplete_checkpoint' AS mode, coalesce(next_sequence, 0) AS next_sequence, coalesce(logical_size, 0) AS logical_size FROM stored LEFT JOIN e USING (shard) WHERE NOT archived""",
     "encode_full_crc": f"{_WITH}, {_LINES} SELECT shard, sequence, line FROM full_lines",
     "encode_header_crc": f"{_WITH}, {_LINES} SELECT shard, sequence, 'crc=h:' || {_CRC.format(k='meta')} || chr(9) || body AS line FROM body, crc_table",
     "codec_roundtrip": f"{_WITH}SELECT event_id, timestamp, shard::BIGINT AS shard, sequence, level, payload FROM rec WHERE event_id % 7 <> 0",

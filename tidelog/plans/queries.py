@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.config import EngineConfig
 from tidelog.functions import text as tx
 from tidelog.functions.codec import RecordFormat, decoded, encoded, sanitised, timestamp_text
 from tidelog.functions.hashing import crc_hex, fnv1a64, unsigned
 from tidelog.operators import delivery, ingest, routing, rules
-from tidelog.plans.records import ReadQuery, matching
-from tidelog.sources import maintenance
+from tidelog.plans.records import ReadQuery, matching, read_records
+from tidelog.sources import maintenance, recovery
 from tidelog.sources import segments as seg
 from tidelog.sources import writer
 
@@ -103,6 +104,66 @@ def reader_stats(spark, sf_dir):
     )
 
 
+#: Checksum class of each shard's files; those of the last shard have none, so damage there can't be seen.
+_CLASSES = ("full", "header", "payload_hash", "none")
+
+
+def _segment_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Log and archive folder of segments with all records: 500 lines a file, plain and compressed by turns, the last of a shard active.
+
+    Every 997th line's checksum is damaged. Files lie in the shared folder, for this call alone, until the session ends.
+    """
+    rows = records(spark, sf_dir)
+    field = [F.col(c) for c in ("timestamp", "shard", "sequence", "level", "payload")]
+    line = F.lit(None).cast("string")
+    for shard, kind in enumerate(_CLASSES):
+        own = encoded(RecordFormat(crc=kind), *field)
+        if kind != "none":
+            own = F.when(F.col("sequence") % 997 == 300, F.concat(F.lit("crc=?"), F.substring(own, 6, 2**31 - 1))).otherwise(own)
+        line = F.when(F.col("shard") == shard, own).otherwise(line)
+    last = rows.groupBy("shard").agg(F.floor(F.max("sequence") / 500).alias("last"))
+    block = F.floor(F.col("sequence") / 500)
+    stem = F.concat(F.lit("shard-"), F.col("shard").cast("string"))
+    end = F.when(block % 2 == 0, ".log.gz").otherwise(".log")
+    name = F.when(block == F.col("last"), F.concat(stem, F.lit(".log"))).otherwise(F.concat(stem, F.lit("."), (block + 1000).cast("string"), F.lit(".0"), end))
+    placed = rows.join(last, "shard").select(name.alias("name"), "sequence", line.alias("line"))
+    folder = maintenance.scratch(spark, "segments")
+    logs, archive = f"{folder}/logs", f"{folder}/archive"
+    held = placed.persist()
+    is_active = F.col("name").rlike("^shard-[0-9]+[.]log$")
+    writer.write_named(held.where(is_active), logs)
+    writer.write_named(held.where(~is_active), archive)
+    held.unpersist()
+    return logs, archive
+
+
+def _from_files(q: ReadQuery) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = read_records(spark, *_segment_files(spark, sf_dir), "shard", q)
+        return rows.select(F.col("shard").cast("int").alias("shard"), "sequence", "timestamp", "level", "payload", "archived", F.element_at(F.split("path", "/"), -1).alias("file"))
+
+    return run
+
+
+def segments_statistics(spark, sf_dir):
+    logs, archive = _segment_files(spark, sf_dir)
+    return seg.read_statistics(spark, seg.segments(spark, logs, archive, "shard"))
+
+
+def segments_verify(spark, sf_dir):
+    logs, archive = _segment_files(spark, sf_dir)
+    found = seg.segments(spark, logs, archive, "shard")
+    rows = seg.verified_prefix(decoded(seg.lines(spark, [r["path"] for r in found.select("path").collect()])))
+    return rows.select(F.element_at(F.split("seg_path", "/"), -1).alias("file"), "valid_records", "next_sequence", "valid_size")
+
+
+def segments_recovery(spark, sf_dir):
+    """Where recovery finds the end of each active segment."""
+    logs, archive = _segment_files(spark, sf_dir)
+    ends, _ = recovery.recovered(spark, EngineConfig(log_dir=logs, archive_dir=archive))
+    return spark.createDataFrame([(e["shard"], e["mode"], e["next_sequence"], e["logical_size"]) for e in ends], "shard int, mode string, next_sequence long, logical_size long")
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog of segment files made of orders: plain and compressed, archived and active, and other files."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -400,10 +461,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "records_by_agent": _read(ReadQuery(agent_id="agent-3", seq_to=900, limit=None)),
     "records_empty_predicate": _read(ReadQuery(source_id="")),
     "records_limit_zero": _read(ReadQuery(limit=0)),
+    "segments_read_back": _from_files(ReadQuery(limit=None)),
+    "segments_file_order": _from_files(ReadQuery(shard=2, seq_from=480)),
+    "segments_active_only": _from_files(ReadQuery(include_archive=False, limit=None)),
 } | {
     f.__name__: f
     for f in (
-        encode_full_crc, encode_header_crc, codec_roundtrip, sanitize_payload, verify_prefix, reader_stats, segment_catalog, archive_dedup,
+        segments_statistics, segments_verify, segments_recovery, encode_full_crc, encode_header_crc, codec_roundtrip, sanitize_payload, verify_prefix, reader_stats, segment_catalog, archive_dedup,
         segment_sort, retention_topn, rotation_assign, route_modulo, route_ring_asof, route_empty_policy, hash_text, shard_counts,
         sequence_assign, delivery_batch, offsets_merge, replay_from_offsets, pending_counts, sink_batch_json, kafka_envelope,
         object_manifest, dedupe_delivery, envelope_render, envelope_decode, ingest_normalize, multiline_merge, source_limits,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidelog.config import EngineConfig
 from tidelog.functions.text import json_string
-from tidelog.operators import delivery, routing
+from tidelog.operators import delivery, routing, rules
+from tidelog.sources import recovery
 from tidelog.sources import segments as seg
 
 
@@ -36,11 +37,22 @@ def export_batch(rows: DataFrame, agent_id: str | None) -> DataFrame:
     return made.select("shard", delivery.delivery_json(F.lit(agent_id or "query-export")).alias("body"))
 
 
-def status(spark: SparkSession, config: EngineConfig) -> DataFrame:
-    """One row: the configuration that routes and the counters of a read of all segments."""
+def status(spark: SparkSession, config: EngineConfig, manager: dict[str, int] | None = None, reason: str = "none") -> DataFrame:
+    """One row: health and its reason, the configuration that routes, the counters of a read of all segments, and the log manager's.
+
+    manager: the log manager's counters, as an agent has them; without them those of a recovery now.
+    """
+    if manager is None:
+        ends, manager = recovery.recovered(spark, config)
+        reason = next((r["mode"].removeprefix("full_scan_") for r in reversed(ends) if r["mode"].startswith("full_scan")), "none")
     found = seg.segments(spark, config.log_dir, config.archive_dir, config.file_prefix)
     ring_size = config.shards * config.virtual_nodes if config.routing == "consistent_hashing" else 0
-    return seg.read_statistics(spark, found).withColumns({
+    rows = seg.read_statistics(spark, found).withColumns({n: F.lit(manager.get(n, 0)).cast("long") for n in recovery.COUNTERS})
+    recent = {"checkpoint_failures": F.col("checkpoint_write_failures")}
+    rows = rows.withColumns(recent)
+    rows = rows.withColumns({"health": rules.health_status(), "health_reason": rules.health_reason(), "health_reason_basis": rules.health_basis()}).drop(*recent)
+    return rows.withColumns({
+        "recovery_fallback_reason": F.lit(reason), "log_dir": F.lit(config.log_dir), "archive_dir": F.lit(config.archive_dir), "file_prefix": F.lit(config.file_prefix),
         "shard_count": F.lit(config.shards), "routing": F.lit(config.routing), "ring_size": F.lit(ring_size),
         "virtual_nodes": F.lit(config.virtual_nodes), "crc_class": F.lit(config.crc_class),
     })

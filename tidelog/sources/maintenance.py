@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -13,6 +15,21 @@ from pyspark.sql import functions as F
 LEFTOVERS = (".checkpoint.tmp", ".gz.tmp")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir), deleted when the application ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.gettempdir()
+    folder = f"{shared.rstrip('/')}/tidelog-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def directory_size(spark: SparkSession, folder: str) -> int:
     """Bytes of all files under a folder, 0 if it is missing."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

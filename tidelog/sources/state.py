@@ -16,6 +16,71 @@ OFFSETS_VERSION = 2
 PENDING_VERSION = 1
 
 
+class Store:
+    """Small text files in a folder of any store that Spark reaches; a write replaces the whole file or nothing."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._jvm = spark.sparkContext._jvm
+        self._fs_api = self._jvm.org.apache.hadoop.fs
+        self.folder = folder.rstrip("/")
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._gateway = spark.sparkContext._gateway
+        self._fs = self._path("").getFileSystem(self._conf)
+
+    def _path(self, name: str):
+        return self._fs_api.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def read(self, name: str) -> str | None:
+        if not self._fs.exists(self._path(name)):
+            return None
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        self._fs.mkdirs(self._path(name).getParent())
+        draft = self._path(f"{name}.tmp")
+        stream = self._fs.create(draft, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        # The draft takes the file's place in one step, which the plain rename does not do everywhere.
+        over = self._gateway.new_array(getattr(self._fs_api, "Options$Rename"), 1)
+        over[0] = getattr(self._fs_api, "Options$Rename").OVERWRITE
+        where = self._fs.makeQualified(draft)
+        self._fs_api.FileContext.getFileContext(where.toUri(), self._conf).rename(where, self._fs.makeQualified(self._path(name)), over)
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), False)
+
+    def drop(self, name: str) -> None:
+        """Delete a folder with all it holds."""
+        self._fs.delete(self._path(name), True)
+
+    def move(self, name: str, goal: str) -> None:
+        """Move a file of the folder to the path ``goal``, whose folder is made if missing."""
+        target = self._fs_api.Path(goal)
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(self._path(name), target):
+            raise OSError(f"{name} could not be moved to {goal}")
+
+    def names(self) -> list[str]:
+        found = self._fs.listStatus(self._path("")) if self._fs.exists(self._path("")) else []
+        return sorted(f.getPath().getName() for f in found if f.isFile() and not f.getPath().getName().endswith(".tmp"))
+
+    def tail(self, name: str, start: int) -> bytes:
+        """The bytes of a file from ``start`` on."""
+        stream = self._fs.open(self._path(name))
+        try:
+            stream.seek(start)
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+
 def _values(text: str) -> dict[str, str]:
     return dict(line.split("=", 1) for line in text.split("\n") if "=" in line)
 
@@ -111,3 +176,29 @@ class PendingBatch:
             return cls(int(found["shard"]), int(found["first_sequence"]), int(found["next_sequence"]), records)
         except (KeyError, ValueError):
             return None
+
+
+def read_offsets(store: Store, name: str = "offsets") -> dict[int, int]:
+    """Delivery offsets by shard: the shared file's, and over them those of the shards' own files ``<name>.<shard>``."""
+    found = parsed_offsets(store.read(name) or "")
+    for own in store.names():
+        base, _, shard = own.rpartition(".")
+        if base == name and shard.isdigit():
+            found |= parsed_offsets(store.read(own) or "", int(shard))
+    return found
+
+
+def write_offsets(store: Store, offsets: dict[int, int], name: str = "offsets") -> None:
+    """Store every shard's offset in its own file."""
+    for shard, after in offsets.items():
+        store.write(f"{name}.{shard}", offsets_text({shard: after}))
+
+
+def read_pending(store: Store, shard: int) -> PendingBatch | None:
+    """The batch of a shard that was about to be sent; a file of all shards, from before they had their own, is taken over."""
+    old = PendingBatch.parsed(store.read("pending") or "")
+    if old is not None:
+        if store.read(f"pending.{old.shard}") is None:
+            store.write(f"pending.{old.shard}", old.text())
+        store.delete("pending")
+    return PendingBatch.parsed(store.read(f"pending.{shard}") or "")

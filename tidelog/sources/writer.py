@@ -56,6 +56,16 @@ def write_archive(lines: DataFrame, archive_dir: str, prefix: str, timestamp_ms:
     _write(lines, archive_dir, lambda shard, k: f"{prefix}-{shard}.{timestamp_ms}.{k}{end}", compress)
 
 
+def write_named(lines: DataFrame, folder: str) -> None:
+    """Write lines (name, sequence, line) as files of those names, in order of sequence; names that end in .gz are compressed.
+
+    Every file is written by one task, files side by side.
+    """
+    for compress in (False, True):
+        mine = lines.where(F.col("name").endswith(".gz") == F.lit(compress)).withColumn("shard", F.col("name"))
+        _write(mine, folder, lambda name, _: name, compress)
+
+
 def _write(lines: DataFrame, folder: str, name: Callable[[str, int], str], compress: bool) -> None:
     spark = lines.sparkSession
     stage = f"{folder.rstrip('/')}/_writing"

@@ -2,62 +2,79 @@
 
 from __future__ import annotations
 
+import json
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.config import EngineConfig
 from tidelog.functions.codec import timestamp_text
 from tidelog.operators import delivery, routing
-from tidelog.sources import writer
+from tidelog.sources import state, writer
 
 # HTTP answers after which a delivery is tried again.
 RETRYABLE = (408, 425, 429, 500, 502, 503, 504)
 
 
-def appender(config: EngineConfig) -> Callable[[DataFrame, int], None]:
+def appender(config: EngineConfig, owner: str | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch over (route_key, level, payload, n): each batch becomes one archived segment of every shard.
 
-    Sequences go on from the batch before, whose ends are kept in ``_offsets`` beside the segments. A
-    batch that is run again writes the same names, so nothing is doubled.
+    Sequences and archive stamps go on from what any writer before has stored in ``_state`` beside the
+    segments. A batch of an ``owner`` (the streaming query's id, or one of its own, if not given) first stores its plan, the
+    stamp and the first sequence of each shard, so that a batch that is run again writes the same names
+    and nothing is doubled. One writer at a time may append to a folder.
     """
     points = routing.ring(config.shards, config.virtual_nodes) if config.routing == "consistent_hashing" else None
+    alone = uuid.uuid4().hex
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         index = "n" if config.empty_route_key == "round_robin" else None
-        rows = routing.routed(batch, "route_key", config.shards, points, index=index)
-        ends = f"{config.archive_dir}/_offsets"
-        before = _ends(spark, ends, batch_id)
-        rows = rows.join(F.broadcast(before), "shard", "left").withColumn("_next", F.coalesce("next_sequence", F.lit(0)))
-        numbered = writer.sequenced(rows.drop("next_sequence"), "n", F.col("_next")).withColumn("timestamp", timestamp_text(F.current_timestamp()))
-        numbered = numbered.persist()
-        writer.write_archive(writer.encoded_lines(numbered, config), config.archive_dir, config.file_prefix, batch_id, config.compress_archives)
-        now = numbered.groupBy("shard").agg((F.max("sequence") + 1).alias("next_sequence"))
-        # One row for each shard.
-        delivery.merged_offsets(before, now).coalesce(1).write.mode("overwrite").parquet(f"{ends}/batch={batch_id}")
-        numbered.unpersist()
+        rows = routing.routed(batch, "route_key", config.shards, points, index=index).persist()
+        try:
+            # One row for each shard.
+            counts = {r["shard"]: r["count"] for r in rows.groupBy("shard").count().collect()}
+            if not counts:
+                return
+            name = owner or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or alone
+            first, stamp = _planned(state.Store(spark, f"{config.archive_dir}/_state"), name, batch_id, counts)
+            base = F.element_at(F.create_map(*[F.lit(x) for shard in sorted(first) for x in (shard, first[shard])]), F.col("shard"))
+            numbered = writer.sequenced(rows, "n", base).withColumn("timestamp", timestamp_text(F.current_timestamp()))
+            writer.write_archive(writer.encoded_lines(numbered, config), config.archive_dir, config.file_prefix, stamp, config.compress_archives)
+        finally:
+            rows.unpersist()
 
     return append
 
 
-def _ends(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    schema = "shard int, next_sequence long"
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/batch={batch_id - 1}")
+def _planned(store: state.Store, owner: str, batch_id: int, counts: dict[int, int]) -> tuple[dict[int, int], int]:
+    """First sequence of each shard and the stamp of a batch: those stored for it, or the next ones, which are then taken."""
+    known = store.read(f"plan.{owner}")
+    if known is not None and (plan := json.loads(known))["batch"] == batch_id:
+        return {int(s): n for s, n in plan["first"].items()}, plan["stamp"]
+    head = json.loads(store.read("head") or '{"next": {}, "stamp": 0}')
+    after = {int(s): n for s, n in head["next"].items()}
+    first = {s: after.get(s, 0) for s in counts}
+    stamp = max(head["stamp"] + 1, int(time.time() * 1000))
+    # The numbers are taken before the plan names them: a crash in between leaves a gap, never the same number twice.
+    store.write("head", json.dumps({"next": after | {s: n + counts[s] for s, n in first.items()}, "stamp": stamp}))
+    store.write(f"plan.{owner}", json.dumps({"batch": batch_id, "first": first, "stamp": stamp}))
+    return first, stamp
 
 
-def multiline(lines: DataFrame, key: str, starts: str, most_lines: int, quiet_ms: int = 60_000) -> DataFrame:
+def multiline(lines: DataFrame, key: str, starts: str, most_lines: int, quiet_ms: int | None = None) -> DataFrame:
     """key, record: lines of a stream merged until the next that begins with ``starts``, across micro-batches.
 
-    The open record of a key waits in state; it is given out after ``quiet_ms`` without another line.
+    The open record of a key waits in state for its next line. With ``quiet_ms`` it is also given out
+    after that time without one; Spark then makes a micro-batch at every trigger, so start such a
+    stream with a trigger of some seconds. A key's lines of one micro-batch are sorted together.
     """
 
     def merge(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,18 +84,19 @@ def multiline(lines: DataFrame, key: str, starts: str, most_lines: int, quiet_ms
             state.remove()
             yield pd.DataFrame({key: [name[0]], "record": ["\n".join(held)]})
             return
-        for frame in frames:
-            for line in frame.sort_values("source_offset")["line"]:
-                if held and (not starts or line.startswith(starts) or len(held) >= most_lines):
-                    out.append("\n".join(held))
-                    held = []
-                held.append(line)
+        for line in pd.concat(list(frames)).sort_values("source_offset", kind="stable")["line"]:
+            if held and (not starts or line.startswith(starts) or len(held) >= most_lines):
+                out.append("\n".join(held))
+                held = []
+            held.append(line)
         state.update((held,))
-        state.setTimeoutDuration(quiet_ms)
+        if quiet_ms is not None:
+            state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame({key: [name[0]] * len(out), "record": out})
 
     return lines.groupBy(key).applyInPandasWithState(
-        merge, f"{key} string, record string", "held array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        merge, f"{key} string, record string", "held array<string>", "append",
+        GroupStateTimeout.NoTimeout if quiet_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
@@ -92,17 +110,20 @@ def deduplicated(delivered: DataFrame, ts: str, late: str = "10 minutes") -> Dat
     return delivered.withWatermark(ts, late).dropDuplicatesWithinWatermark(["agent_id", "shard", "first_sequence", "next_sequence"])
 
 
-def http_sink(url: str, timeout: float = 5.0, tries: int = 5, pause: float = 0.2, most_pause: float = 5.0) -> Callable[[str], None]:
-    """Posts a body; answers in RETRYABLE and lost connections are tried again after growing pauses."""
+def http_sink(
+    url: str, timeout: float = 5.0, tries: int = 5, pause: float = 0.2, most_pause: float = 5.0,
+    headers: dict[str, str] | None = None, retryable: tuple[int, ...] = RETRYABLE,
+) -> Callable[[str], None]:
+    """Posts a body with ``headers``; answers in ``retryable`` and lost connections are tried again after growing pauses."""
 
     def send(body: str) -> None:
         for k in range(tries):
             try:
-                request = urllib.request.Request(url, body.encode(), {"Content-Type": "application/json"})
+                request = urllib.request.Request(url, body.encode(), {"Content-Type": "application/json"} | (headers or {}))
                 with urllib.request.urlopen(request, timeout=timeout):
                     return
             except urllib.error.HTTPError as e:
-                if e.code not in RETRYABLE or k == tries - 1:
+                if e.code not in retryable or k == tries - 1:
                     raise
             except OSError:
                 if k == tries - 1:
@@ -132,15 +153,16 @@ def object_sink(folder: str) -> Callable[[DataFrame], None]:
 def deliver(records: DataFrame, offsets: DataFrame, agent_id: str, size: int, send: Callable[[str], None]) -> DataFrame:
     """Send every pending record in batches of ``size`` sequences and give the offsets after them.
 
-    Tasks send their batches in order; offsets count only after all are sent, so a failure sends
-    again what was sent (at least once) and a receiver drops repeats by span.
+    A shard's batches are sent in order by one task, shards side by side. Offsets count only after all
+    are sent, so a failure sends again what was sent (at least once) and a receiver drops repeats by span.
     """
     made = delivery.batches(delivery.pending(records, offsets), size).withColumn("body", delivery.delivery_json(F.lit(agent_id)))
+    made = made.select("shard", "first_sequence", "next_sequence", "body").persist()
 
     def run(rows) -> None:
         for row in rows:
             send(row["body"])
 
-    made.select("shard", "first_sequence", "body").sortWithinPartitions("shard", "first_sequence").foreachPartition(run)
+    made.repartition("shard").sortWithinPartitions("shard", "first_sequence").select("body").foreachPartition(run)
     after = made.groupBy("shard").agg(F.max("next_sequence").alias("next_sequence"))
     return delivery.merged_offsets(offsets, after)

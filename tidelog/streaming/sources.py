@@ -44,6 +44,16 @@ def tail_once(path: str, inode: int, offset: int, most_lines: int) -> tuple[list
     return out, at.st_ino, start, replaced
 
 
+def _until(path: str, inode: int, offset: int, end: int) -> Iterator[tuple[str, int]]:
+    """Lines with their places from ``offset`` up to ``end``, a thousand at a time."""
+    while offset < end:
+        lines, _, after, replaced = tail_once(path, inode, offset, 1000)
+        if not lines or replaced:
+            return
+        yield from ((line, at) for line, at in lines if at < end)
+        offset = after
+
+
 class _TailReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.patterns = options["path"].split(",")
@@ -64,8 +74,7 @@ class _TailReader(SimpleDataSourceStreamReader):
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         for path, (inode, upto) in end.items():
             was, offset = start.get(path, [inode, 0])
-            lines, _, _, _ = tail_once(path, was, offset if was == inode else 0, 1 << 30)
-            yield from ((path, at, line) for line, at in lines if at < upto)
+            yield from ((path, at, line) for line, at in _until(path, was, offset if was == inode else 0, upto))
 
 
 class TailSource(DataSource):
@@ -85,8 +94,10 @@ class TailSource(DataSource):
 class Listener:
     """Receives lines or datagrams and keeps them, numbered, until they are committed."""
 
-    def __init__(self, kind: str, address: str) -> None:
+    def __init__(self, kind: str, address: str, most: int = 100_000) -> None:
         self.kind, self.rows, self.base, self.lock = kind, [], 0, threading.Lock()
+        #: Rows held at most: a connection then waits, a datagram is dropped and counted.
+        self.most, self.dropped, self.room = most, 0, threading.Condition(self.lock)
         if kind == "stdin":
             self.name = "stdin"
             threading.Thread(target=self._stdin, daemon=True).start()
@@ -104,7 +115,12 @@ class Listener:
         threading.Thread(target=self._datagrams if kind == "udp" else self._connections, daemon=True).start()
 
     def _put(self, source: str, line: bytes) -> None:
-        with self.lock:
+        with self.room:
+            if self.kind == "udp" and len(self.rows) >= self.most:
+                self.dropped += 1
+                return
+            while len(self.rows) >= self.most:
+                self.room.wait()
             self.rows.append((source, line.decode("utf-8", "replace")))
 
     def _stdin(self) -> None:
@@ -134,9 +150,10 @@ class Listener:
         return [(source, start + k, line) for k, (source, line) in enumerate(part)]
 
     def commit(self, end: int) -> None:
-        with self.lock:
+        with self.room:
             del self.rows[: max(0, end - self.base)]
             self.base = max(self.base, end)
+            self.room.notify_all()
 
     @property
     def end(self) -> int:
