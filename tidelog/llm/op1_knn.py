@@ -1,18 +1,19 @@
-"""Exact top-k search by half a Voronoi join: queries grouped by pivots, data replicated by bounds.
+"""Exact top-k search by a Voronoi join: queries and data grouped by pivots, data replicated by bounds.
 
 Vectors are floor(1024 x) and the score is their integer inner product. Pivots are means of a bounded
-sample. A query group is the queries nearest to one pivot P; its summary holds the radius r of its
-queries about P and the least lower bound t of their k-th scores, each taken over the sample, whose
-vectors are data too. As q.x <= P.x + r|x|, only vectors with P.x + r|x| >= t can be among the k best
-of a query of the group, and only those are replicated to it. Groups are solved locally, the group's
-queries in blocks and its data in shards, so no task holds a whole group; the shards' k best merge.
-Data are not grouped: they have no pivot and no summary, and each vector is tested alone against
-every query group. The bounds t come from the sample, of one size for any input. So less is pruned
-than with summaries of data cells; what is found is exact.
+sample. Every data vector belongs to the cell of its nearest pivot; a cell's summary holds its number
+of vectors, its radius and the vectors nearest to its pivot. A query group is the queries nearest to
+one pivot P; its summary holds the radius r of its queries about P. As P.x - r|x| <= q.x <= P.x + r|x|,
+the cells' summaries give a lower bound t of the k-th score of every query of a group, raised by the
+k-th scores of its queries over the sample, whose vectors are data too. A cell whose radius keeps all
+its P.x + r|x| under t is left out of the group as a whole, any other vector by vector; the rest is
+replicated to it. Groups are solved locally, their queries in blocks and their data in shards, so no
+task holds a whole group; the shards' k best merge.
 
 Vectors that are null, or hold a null or non-finite component, take no part, nor do null ids. Shorter
 vectors count as ending in zeros. Equal scores go to the smaller vec_id; rows of the query's own
-vec_id are never its candidates; repeated rows are candidates each. Empty tables give no rows.
+vec_id are never its candidates; repeated rows are candidates each, but one query: a vec_id with
+several vectors asks once for each of them. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from tidelog.llm import common
 SAMPLE = 2048
 MOST_PIVOTS = 64
 QUERIES_PER_PIVOT = 64
-QUERY_BLOCK = 512
-SHARD = 8192
+#: Queries and data vectors that meet in one task at most, and queries scored at once.
+QUERY_BLOCK = 8192
+SHARD = 32768
+TILE = 64
 BATCH_BYTES = 4 << 20
 
 _RESULT = "query_id long, rank int, vec_id long, score long"
@@ -115,22 +118,63 @@ def knn(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                 ["vec_id", "v", "g", "away", "floor"],
             )
 
-    queries = common.stored(common.mapped(rows.where("q").drop("q"), group, "vec_id long, v array<long>, g int, away double, floor double"), "queries")
+    def cells(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a task's vectors: cell, number, radius, and each of the vectors nearest to the pivot, the cell's first row carrying the numbers."""
+        count, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+        near: list[list[tuple[float, int, list[int]]]] = [[] for _ in pivots]
+        for t in common.batches(stream, BATCH_BYTES):
+            ids, v = np.asarray(t["vec_id"]), _matrix(t["v"].combine_chunks(), width)
+            c = nearest(v, pivots)
+            away = np.linalg.norm(v - pivots[c], axis=1)
+            count += np.bincount(c, minlength=len(pivots))
+            np.maximum.at(radius, c, away)
+            for j in np.unique(c).tolist():
+                mine = np.flatnonzero(c == j)
+                mine = mine[np.argsort(away[mine], kind="stable")[: k + 1]]
+                near[j] = sorted(near[j] + [(float(away[i]), int(ids[i]), v[i].tolist()) for i in mine])[: k + 1]
+        for j, some in enumerate(near):
+            if some:
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([j] * n, pa.int32()), pa.array([int(count[j])] + [0] * (n - 1), pa.int64()), pa.array([float(radius[j])] * n), pa.array([x[0] for x in some]),
+                    pa.array([x[1] for x in some], pa.int64()), pa.array([x[2] for x in some], pa.list_(pa.int64())),
+                ], ["c", "n", "r", "away", "vec_id", "v"])
+
+    asked = rows.where("q").drop("q").dropDuplicates(["vec_id", "v"])
+    queries = common.stored(common.mapped(asked, group, "vec_id long, v array<long>, g int, away double, floor double"), "queries")
     blocks = lambda n: F.ceil(n / QUERY_BLOCK)
-    # Summaries: one row for each of at most MOST_PIVOTS groups.
+    # Summaries: one row for each of at most MOST_PIVOTS groups, and k + 1 for each of as many cells.
     summary = queries.groupBy("g").agg(F.max("away").alias("r"), F.min("floor").alias("t"), blocks(F.count("*")).alias("blocks")).orderBy("g").collect()
+    partial = common.stored(common.mapped(rows.drop("q"), cells, "c int, n long, r double, away double, vec_id long, v array<long>"), "cells")
+    cell = {r["c"]: r["r"] for r in partial.groupBy("c").agg(F.max("r").alias("r"), F.sum("n").alias("n")).collect()}
+    nth = F.row_number().over(W.partitionBy("c").orderBy("away", "vec_id"))
+    known = partial.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("vec_id", "v").collect()
+    near = _matrix(pa.array([r["v"] for r in known], pa.list_(pa.int64())), width)
     centre = pivots[[s["g"] for s in summary]]
-    radius, least = np.array([s["r"] for s in summary]), np.array([s["t"] for s in summary], float)
+    radius = np.array([s["r"] for s in summary])
+    # The k + 1 best lower bounds, as one of the vectors may be the query's own. Repeated rows of its id might be more, so each id counts once.
+    ids = np.array([r["vec_id"] for r in known], np.int64)
+    first = np.unique(ids, return_index=True)[1]
+    low = np.sort(near[first] @ centre.T - np.linalg.norm(near[first], axis=1)[:, None] * radius, axis=0)
+    least = np.array([s["t"] for s in summary], float)
+    if len(first) > k:
+        least = np.maximum(least, low[-(k + 1)] - 1e-6 * (1 + np.abs(low[-(k + 1)])))
     block_count = np.array([s["blocks"] for s in summary], np.int64)
     names = np.array([s["g"] for s in summary], np.int32)
+    # Cells that no vector of can be among the best of any query of the group.
+    far = np.array([cell.get(j, 0.0) for j in range(len(pivots))])
+    most = pivots @ centre.T + far[:, None] * np.linalg.norm(centre, axis=1) + (np.linalg.norm(pivots, axis=1) + far)[:, None] * radius
+    open_cell = most * (1 + 1e-9 * np.sign(most)) + 1e-6 >= least
 
     def replicate(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in common.batches(stream, BATCH_BYTES):
             v = _matrix(t["v"].combine_chunks(), width)
-            most = v @ centre.T + np.linalg.norm(v, axis=1)[:, None] * radius
+            c = nearest(v, pivots)
+            bound = v @ centre.T + np.linalg.norm(v, axis=1)[:, None] * radius
+            # A hair of slack covers the rounding of the bound, which is in doubles.
+            needed = open_cell[c] & (bound * (1 + 1e-9 * np.sign(bound)) + 1e-6 >= least)
             for j in range(len(names)):
-                # A hair of slack covers the rounding of the bound, which is in doubles.
-                need = np.flatnonzero(most[:, j] * (1 + 1e-9 * np.sign(most[:, j])) + 1e-6 >= least[j])
+                need = np.flatnonzero(needed[:, j])
                 part = t.select(["vec_id", "v"]).take(pa.array(need)).combine_chunks()
                 for b in range(block_count[j]):
                     n = len(need)
@@ -140,24 +184,27 @@ def knn(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     data = data.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     per_group = F.create_map(*[F.lit(int(z)) for s in summary for z in (s["g"], s["blocks"])])
     asked = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), per_group[F.col("g")]).cast("int"))
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "g", "b", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.xxhash64("v").alias("qh"), "g", "b", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        kind = pa.schema([("query_id", pa.int64()), ("qh", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not left.num_rows or not right.num_rows:
             return kind.empty_table()
         q_ids, ids = np.asarray(left["query_id"]), np.asarray(right["vec_id"])
-        found = scores(_matrix(left["qv"].combine_chunks(), width), _matrix(right["v"].combine_chunks(), width))
-        top = [best(s, ids, i, k) for s, i in zip(found, q_ids.tolist())]
-        return pa.table([
-            np.repeat(q_ids, [len(p) for p in top]),
-            np.concatenate([ids[p] for p in top]),
-            np.concatenate([s[p] for s, p in zip(found, top)]),
-        ], schema=kind)
+        asked, vectors = _matrix(left["qv"].combine_chunks(), width), _matrix(right["v"].combine_chunks(), width)
+        which, chosen, found = [], [], []
+        for a in range(0, len(q_ids), TILE):
+            for i, s in enumerate(scores(asked[a : a + TILE], vectors), a):
+                top = best(s, ids, int(q_ids[i]), k)
+                which.append(np.full(len(top), i))
+                chosen.append(ids[top])
+                found.append(s[top])
+        at = np.concatenate(which)
+        return pa.table([q_ids[at], np.asarray(left["qh"])[at], np.concatenate(chosen), np.concatenate(found)], schema=kind)
 
     key = ["g", "b", "s"]
-    partial = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(common.lean(solve), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    partial = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(common.lean(solve), "query_id long, qh long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
