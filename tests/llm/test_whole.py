@@ -128,3 +128,34 @@ def test_common_shingles_need_no_list(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in op7_ngram_join.near_duplicates(frame).collect()} == want
     sizes = op7_ngram_join.components(made[0]).groupBy("label").count().agg({"count": "max"}).first()[0]
     assert sizes <= 2 * max(list(want.values()).count(c) for c in set(want.values()))
+
+
+def test_repeated_queries_and_cells(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidelog.llm import op1_knn
+
+    monkeypatch.setattr(op1_knn, "QUERIES_PER_PIVOT", 2)
+    monkeypatch.setattr(op1_knn, "TILE", 3)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(4, 6)) * 4
+    rows = [(i, [float(x) for x in (centres[i % 4] + rng.normal(size=6) / 20).round(3)]) for i in range(160)]
+    rows += [(0, rows[0][1]), (0, rows[0][1]), (40, rows[3][1]), (7, rows[7][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in whole if i % 20 == 0}:
+        scored = sorted((-int(np.dot(v, w)), i) for i, w in whole if i != q)[:3]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    assert sorted(tuple(r) for r in op1_knn.knn(frame, F.col("vec_id") % 20 == 0, 3).collect()) == sorted(want)
+
+
+def test_token_files_of_null_ids_and_no_rows(spark, vocabulary, tmp_path):
+    from tidelog.llm import op8_token_files
+
+    frame = spark.createDataFrame([(None, "a b"), (-1, "c"), (5, None), (None, "d")], "doc_id long, text string")
+    for docs, want in ((frame, [None, None, -1, 5]), (frame.limit(0), [])):
+        folder = f"file://{tmp_path}/{len(want)}"
+        got = op8_token_files.read(spark, folder, op8_token_files.write(docs, vocabulary, folder)).orderBy("start").collect()
+        assert [r["doc_id"] for r in got] == want
+        assert [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(len(got))]

@@ -28,8 +28,10 @@ END_ID = 0
 FILE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 BLOCK_IDS = 4096
-#: Ranges of doc_id at most; a task writes as many files of FILE_BYTES as its range needs.
+#: Ranges of doc_id at most, as their bounds are one row of the driver; a task writes as many files of FILE_BYTES as its range needs.
 MOST_RANGES = 4096
+#: In the files, the doc_id that stands for a null one; no other document may have it.
+NULL_ID = -(2**63)
 
 _HEAD = struct.Struct("<8sIIQII")
 _MAGIC = b"TOKBITS1"
@@ -95,10 +97,11 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, f
 
     Returns the manifest, stored beside the files: file, part, number, docs, ids. Only files that
     the manifest names count, so a task that runs twice does no harm. Null and empty texts are
-    their end id alone; equal doc_ids stand in any order; a null doc_id is written as -1; an empty
-    table gives an empty manifest. Other columns are not read.
+    their end id alone; equal doc_ids stand in any order; documents of null doc_id come first, under
+    NULL_ID in the file, and are null again when read; an empty table gives an empty manifest and no
+    file. Other columns are not read. Beyond MOST_RANGES ranges a task writes several files in turn.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     n = min(MOST_RANGES, common.parts(rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"], file_bytes_of_text))
     # Ranges of doc_id of about the same number of documents, one task each: bounds come from the ids alone.
@@ -174,7 +177,10 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     within = W.partitionBy("part").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
     based = manifest.withColumn("in_part", F.coalesce(F.sum("ids").over(within), F.lit(0))).join(by_part, "part")
     based = based.select("file", (F.col("in_part") + F.col("part_base")).alias("base"))
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder)
+    # Before the first file there is no folder.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     found = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def documents(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +196,8 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                 ], ["file", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = common.mapped(found, documents, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
-    return rows.join(based, "file").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    doc_id = F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id")
+    return rows.join(based, "file").select(doc_id, (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
