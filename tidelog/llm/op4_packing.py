@@ -27,48 +27,60 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 
 class _Stock:
-    """How many pieces of each length are left, with indexes of the sums of one, two and three lengths."""
+    """How many pieces of each length are left, with indexes of the sums of one, two and three lengths.
+
+    The index of a sum holds the first combination that may still be in stock, in a fixed order. Stock
+    only falls, so what is passed over is never back, and all indexes together move capacity squared
+    steps at most.
+    """
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.left = counts.astype(np.int64)
+        self.left = counts.tolist()
+        #: By sum: the least length of a pair, and the greatest of three, from which on combinations may exist.
+        self._pair_from = [1] * len(counts)
+        self._triple_from = list(range(-2, len(counts) - 2))
+
+    def _has(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def take(self, lengths: tuple[int, ...] | list[int], times: int = 1) -> None:
+        for x in lengths:
+            self.left[x] -= times
 
     def complement(self, gap: int) -> tuple[int, ...] | None:
         """One, two or three lengths in stock that add up to exactly ``gap``, the larger ones first."""
         if gap < 1:
             return None
-        left = self.left
-        if left[gap]:
+        if self.left[gap]:
             return (gap,)
-        have = left > 0
-        return self._pair(have, gap) or self._triple(have, gap)
-
-    def _pair(self, have: np.ndarray, total: int) -> tuple[int, int] | None:
-        low = np.arange(1, total // 2 + 1)
-        if not len(low):
-            return None
-        fits = have[low] & have[total - low]
-        if total % 2 == 0 and self.left[total // 2] < 2:
-            fits[-1] = False
-        found = np.flatnonzero(fits)
-        return (total - int(low[found[0]]), int(low[found[0]])) if len(found) else None
-
-    def _triple(self, have: np.ndarray, total: int) -> tuple[int, int, int] | None:
-        for a in np.flatnonzero(have[: max(0, total - 1)])[::-1].tolist():
-            if a * 3 < total:
-                break
-            self.left[a] -= 1
-            had, have[a] = have[a], self.left[a] > 0
-            pair = self._pair(have, total - a) if total - a >= 2 else None
-            self.left[a] += 1
-            have[a] = had
-            if pair:
-                return (a, *pair)
+        return self._pair(gap) or self._triple(gap)
+
+    def _pair(self, total: int) -> tuple[int, int] | None:
+        low = self._pair_from[total]
+        while 2 * low <= total and not self._has(low, total - low):
+            low += 1
+        self._pair_from[total] = low
+        return (total - low, low) if 2 * low <= total else None
+
+    def _triple(self, total: int) -> tuple[int, int, int] | None:
+        high = self._triple_from[total]
+        while 3 * high >= total and high > 0:
+            if self.left[high] and (pair := self._pair(total - high)):
+                if self._has(high, *pair):
+                    self._triple_from[total] = high
+                    return (high, *pair)
+                # The pair needs the one piece of this length itself: another pair of the sum may do.
+                for low in range(pair[1] + 1, (total - high) // 2 + 1):
+                    if self._has(high, low, total - high - low):
+                        self._triple_from[total] = high
+                        return (high, total - high - low, low)
+            high -= 1
+        self._triple_from[total] = high
         return None
 
     def best_fit(self, gap: int) -> int:
         """The largest length in stock that still fits, 0 if none."""
-        found = np.flatnonzero(self.left[: gap + 1])
-        return int(found[-1]) if len(found) else 0
+        return next((x for x in range(gap, 0, -1) if self.left[x]), 0)
 
 
 def patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
@@ -83,19 +95,17 @@ def patterns(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
     for top in range(capacity, 0, -1):
         while stock.left[top]:
             chosen, gap = [top], capacity - top
-            stock.left[top] -= 1
+            stock.take(chosen)
             while gap:
                 exact = stock.complement(gap)
                 more = exact or ((x,) if (x := stock.best_fit(gap)) else ())
                 if not more:
                     break
-                for x in more:
-                    stock.left[x] -= 1
+                stock.take(more)
                 chosen += more
                 gap -= sum(more)
-            sizes, uses = np.unique(chosen, return_counts=True)
-            again = int(np.min(stock.left[sizes] // uses))
-            stock.left[sizes] -= again * uses
+            again = min(stock.left[x] // chosen.count(x) for x in set(chosen))
+            stock.take(chosen, again)
             out.append((1 + again, chosen))
     return out
 
