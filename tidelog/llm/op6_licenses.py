@@ -15,6 +15,7 @@ repeated rows agree; an empty table gives no rows; columns other than doc_id and
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,6 +37,9 @@ BASE = [
     ("cc by nc", "cc-by-nc"),
 ]
 
+#: A word that every text with the base phrase has, by label.
+BASE_KEYWORDS = [("mit", "mit"), ("apache-2", "apache"), ("cc-by-nc", "cc")]
+
 #: Label, keywords of which a text must hold one, and how the license is named, over words joined by spaces.
 LICENSES = [
     ("mit", "mit", r"(?:the )?(?:expat )?mit(?: x11)?"),
@@ -110,6 +114,54 @@ TEXTS = [
     ("proprietary", "proprietary", r"(?:this (?:software|document|work) is |strictly )?proprietary and confidential", 30, 0.7),
     ("public-domain", "domain", r"(?:released |dedicated |placed )?(?:in|into|to) the public domain", 30, 0.7),
     ("no-commercial-use", "commercial", r"(?:not for|no) commercial use", 30, 0.6),
+    ("mit", "copyright", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 94, 0.95),
+    ("mit", "provided", r"the software is provided as is without warranty of any kind express or implied", 60, 0.7),
+    ("apache-2", "apache", r"you may not use this file except in compliance with the license you may obtain a copy of the license at https? www apache org licenses license 2 0", 96, 1.0),
+    ("apache-2", "apache", r"https? www apache org licenses license 2 0(?: txt| html)?", 92, 0.95),
+    ("apache-2", "distributed", r"software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", 91, 0.9),
+    ("apache-2", "contributor", r"licensed to the apache software foundation asf under one or more contributor license agreements", 95, 1.0),
+    ("bsd-3-clause", "endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission", 94, 0.95),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledgement", 96, 1.0),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 93, 0.95),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice", 93, 0.9),
+    ("gpl-3.0", "gnu", r"gnu general public license version 3 29 june 2007", 97, 1.0),
+    ("gpl-2.0", "gnu", r"gnu general public license version 2 june 1991", 97, 1.0),
+    ("gpl", "gnu", r"you should have received a copy of the gnu general public license along with this (?:program|library|software|file)", 94, 0.95),
+    ("lgpl", "gnu", r"you should have received a copy of the gnu lesser general public license along with this (?:program|library|software|file)", 94, 0.95),
+    ("agpl-3.0", "gnu", r"you should have received a copy of the gnu affero general public license along with this (?:program|library|software|file)", 94, 0.95),
+    ("gpl", "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license", 90, 0.9),
+    ("lgpl-2.1", "gnu", r"gnu lesser general public license version 2 1 february 1999", 97, 1.0),
+    ("agpl-3.0", "gnu", r"gnu affero general public license version 3 19 november 2007", 97, 1.0),
+    ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0", 96, 1.0),
+    ("mpl-2.0", "mozilla", r"if a copy of the mpl was not distributed with this file you can obtain one at https? mozilla org mpl 2 0", 96, 1.0),
+    ("epl-2.0", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", 96, 1.0),
+    ("epl-1.0", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", 96, 1.0),
+    ("cddl-1.0", "common", r"the contents of this file are subject to the terms of the common development and distribution license(?: the license)?(?: cddl)?", 96, 1.0),
+    ("bsl-1.0", "boost", r"distributed under the boost software license version 1 0 see accompanying file license 1 0 txt", 96, 1.0),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 95, 1.0),
+    ("zlib", "origin", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", 95, 1.0),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 96, 1.0),
+    ("unlicense", "unlicense", r"for more information please refer to https? unlicense org", 92, 0.95),
+    ("wtfpl", "fuck", r"do what the fuck you want to public license", 96, 1.0),
+    ("wtfpl", "fuck", r"you just do what the fuck you want to", 95, 0.95),
+    ("cc0-1.0", "waived", r"has waived all copyright and related or neighboring rights to this work", 95, 1.0),
+    ("cc-by", "creativecommons", r"https? creativecommons org licenses by \d 0", 92, 0.95),
+    ("cc-by-sa", "creativecommons", r"https? creativecommons org licenses by sa \d 0", 92, 0.95),
+    ("cc-by-nc", "creativecommons", r"https? creativecommons org licenses by nc \d 0", 92, 0.95),
+    ("cc-by-nd", "creativecommons", r"https? creativecommons org licenses by nd \d 0", 92, 0.95),
+    ("cc-by-nc-sa", "creativecommons", r"https? creativecommons org licenses by nc sa \d 0", 92, 0.95),
+    ("cc-by-nc-nd", "creativecommons", r"https? creativecommons org licenses by nc nd \d 0", 92, 0.95),
+    ("cc0-1.0", "creativecommons", r"https? creativecommons org publicdomain zero 1 0", 92, 0.95),
+    ("ofl-1.1", "font", r"this font software is licensed under the sil open font license version 1 1", 96, 1.0),
+    ("artistic-2.0", "artistic", r"you may redistribute it and or modify it under the terms of the artistic license 2 0", 95, 0.95),
+    ("postgresql", "documentation", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 95, 1.0),
+    ("ncsa", "illinois", r"university of illinois ncsa open source license", 95, 1.0),
+    ("python-2.0", "python", r"this license agreement is between the python software foundation psf and the individual or organization", 96, 1.0),
+    ("ms-pl", "governs", r"this license governs use of the accompanying software if you use the software you accept this license", 70, 0.6),
+    ("public-domain", "copyright", r"the authors? disclaims? copyright to this source code", 90, 0.95),
+    ("proprietary", "unauthorized", r"unauthorized copying of this file via any medium is strictly prohibited(?: proprietary and confidential)?", 90, 0.95),
+    ("proprietary", "reproduced", r"no part of this (?:publication|document|book|work) may be reproduced stored in a retrieval system or transmitted", 90, 0.9),
+    ("no-derivatives", "derivative", r"no derivative works(?: are)? (?:permitted|allowed)", 30, 0.6),
 ]
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -155,11 +207,15 @@ def detections(words: str) -> list[tuple[int, int, Signature]]:
     """Kept (start, end, signature) of all rules over joined words, in order of place."""
     found = [(m.start(), m.end(), s) for s in signatures() if any(f" {k}" in words for k in s.keywords) for m in s.pattern.finditer(words)]
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
+    # Kept detections never overlap, so in order of place only the two neighbours of a new one can.
     kept: list[tuple[int, int, Signature]] = []
+    starts: list[int] = []
     for a, b, s in found:
-        if not any(a < y and x < b for x, y, _ in kept):
-            kept.append((a, b, s))
-    return sorted(kept, key=lambda d: d[:2])
+        k = bisect_left(starts, a)
+        if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or b <= kept[k][0]):
+            starts.insert(k, a)
+            kept.insert(k, (a, b, s))
+    return kept
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -168,7 +224,7 @@ def scan(docs: DataFrame) -> DataFrame:
     detections holds (label, rule, first word, words) of each kept detection; score is the highest
     confidence, 1 for a base phrase, 0 without any.
     """
-    keywords = sorted({k for s in signatures() for k in s.keywords} | {p.split(" ")[-1] for p, _ in BASE} | {"mit", "apache", "cc"})
+    keywords = sorted({k for s in signatures() for k in s.keywords} | {k for _, k in BASE_KEYWORDS})
     gate = r"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(keywords) + ")"
     kind = pa.list_(pa.struct([("label", pa.string()), ("rule", pa.string()), ("first", pa.int64()), ("words", pa.int64())]))
     schema = pa.schema([
@@ -178,13 +234,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def search(text: str) -> tuple:
         words = joined(text)
+        more = detections(words)
         base = sorted((at, label) for phrase, label in BASE for at in places(words, phrase))
-        nth = lambda at: words.count(" ", 0, at)
+        spaces = np.flatnonzero(np.frombuffer(words.encode("utf-32-le"), "<u4") == 32) if base or more else np.empty(0, np.int64)
+        nth = lambda at: int(np.searchsorted(spaces, at))
         own = sorted({label for _, label in base})
-        more = detections(words)
         labels = sorted({s.label for _, _, s in more} | set(own))
         score = 1.0 if base else max((s.confidence for _, _, s in more), default=0.0)
-        shown = [{"label": s.label, "rule": s.name, "first": nth(a) - 1, "words": words.count(" ", a, b) + 1} for a, b, s in more]
+        shown = [{"label": s.label, "rule": s.name, "first": nth(a) - 1, "words": nth(b) - nth(a) + 1} for a, b, s in more]
         first, last = (nth(base[0][0]), nth(base[-1][0])) if base else (None, None)
         return len(base), first, last, ",".join(own), ",".join(labels), score, shown
 
