@@ -3,10 +3,9 @@
 1. Every text becomes its set of word shingles, as 64-bit hashes. Documents of equal sets are one
    class, named by its least doc_id.
 2. A pair that links shares some of the rarest shingles of both sets (the prefix filter); pairs that
-   do are put into one candidate cluster. Common shingles, those in the prefixes of more than PAIRED
-   documents, come last in the order of rarity. Most are found by counting in the tasks and known in
-   advance; the prefixes that still hold another one are cut anew by a join with the table of common
-   shingles, until none does. What is known in advance changes the number of these rounds only.
+   do are put into one candidate cluster. Frequent shingles come last in the order of rarity. Which
+   ones are frequent is counted in the tasks and changes only what is tried, never what is found; but
+   the list is bounded, and the more common shingles it lacks, the larger the clusters.
 3. Clusters are solved apart: inverted lists of the cluster's sets, the short ones merged (by counting
    places instead of a heap, as a list's entries are array elements), the long ones probed by binary
    search (DivideSkip), documents kept that reach the required overlap. A cluster too large for a task
@@ -39,9 +38,9 @@ from tidelog.llm import common
 from tidelog.llm.components import components
 
 BATCH_BYTES = 4 << 20
-#: Shingles at most that tasks know to be common before any round, those of the highest counts.
+#: Shingles at most that count as frequent, those of the highest counts: their order is sent to tasks.
 MOST_FREQUENT = 1 << 19
-FREQUENT = 4
+FREQUENT = 2
 FREQUENT_IN_BATCH = 2
 #: One more shared shingle is asked of two prefixes for every so many of the smaller set.
 SUPPORT = 20
@@ -248,12 +247,11 @@ def _fingerprinted(rows: DataFrame, keep: str, measure: Measure) -> DataFrame:
     return common.mapped(rows, scan, T.StructType(fields))
 
 
-def _shingled(docs: DataFrame, frequent: np.ndarray, measure: Measure, whole: bool) -> DataFrame:
-    """tok, node (class hash f1), n, late, low of the prefixes of the documents, or of their whole sets.
+def _shingled(docs: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFrame:
+    """tok, node (class hash f1), n, low of the prefixes of the documents.
 
-    late: the shingle is one of ``frequent``, which come last in the order. Where more than PAIRED
-    documents of a batch have such a shingle in their prefixes, only the least of them stands for it
-    beyond the batch; the others give it as their ``low`` and have no tok.
+    Where more than PAIRED documents of a batch have a shingle in their prefixes, only the least of
+    them stands for it beyond the batch (hot); the others give it as their ``low`` and have no tok.
     """
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,38 +262,36 @@ def _shingled(docs: DataFrame, frequent: np.ndarray, measure: Measure, whole: bo
             f1 = _sums(mixed(flat, 1), ends)
             n = np.diff(ends)
             doc = np.repeat(np.arange(len(n)), n)
-            late = np.zeros(len(flat), bool)
             if len(frequent):
                 late = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat
                 # Sets are sorted, so the stable order by (document, late) keeps each part sorted.
                 order = np.argsort(doc * 2 + late, kind="stable")
-                flat, late = flat[order], late[order]
-            if not whole:
-                nth = np.arange(len(flat)) - np.repeat(ends[:-1], n)
-                keep = nth < np.repeat(measure.prefix(n), n)
-                flat, late, doc = flat[keep], late[keep], doc[keep]
+                flat = flat[order]
+            nth = np.arange(len(flat)) - np.repeat(ends[:-1], n)
+            keep = nth < np.repeat(measure.prefix(n), n)
+            flat, doc = flat[keep], doc[keep]
             # Copies within the batch fold before they are dealt out; the rows come in order of tok and node.
             tok, node = flat.view(np.int64), f1[doc]
             order = np.lexsort((node, tok))
-            tok, node, late, size = tok[order], node[order], late[order], n[doc[order]]
+            tok, node, size = tok[order], node[order], n[doc[order]]
             once = np.ones(len(tok), bool)
             once[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-            tok, node, late, size = tok[once], node[once], late[once], size[once]
+            tok, node, size = tok[once], node[once], size[once]
             first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
             many = np.diff(np.append(first, len(tok)))
-            hot = late & (np.repeat(many, many) > PAIRED) & (not whole)
+            hot = np.repeat(many, many) > PAIRED
             rest = hot.copy()
             rest[first] = False
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tok, mask=rest), pa.array(node), pa.array(size), pa.array(late), pa.array(np.repeat(node[first], many), mask=~rest), pa.array(hot)],
-                ["tok", "node", "n", "late", "low", "hot"],
+                [pa.array(tok, mask=rest), pa.array(node), pa.array(size), pa.array(np.repeat(node[first], many), mask=~rest), pa.array(hot)],
+                ["tok", "node", "n", "low", "hot"],
             )
 
-    return common.mapped(docs, scan, "tok long, node long, n long, late boolean, low long, hot boolean")
+    return common.mapped(docs, scan, "tok long, node long, n long, low long, hot boolean")
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """Rows of shingles that several documents have in their prefixes: node, n, late, and tok of those of more than PAIRED, with ``low``, or else near.
+    """Rows of shingles that several documents have in their prefixes: node and n, with ``low``, the least document, and near, null for those of more than PAIRED.
 
     near: the next documents in order that have the shingle too. A stored table.
     """
@@ -306,15 +302,14 @@ def _met(rows: DataFrame) -> DataFrame:
         "low": F.min("node").over(by_tok),
         "near": F.when(F.col("docs") <= PAIRED, F.collect_list(F.struct("node", "n")).over(after)),
     })
-    shown = ["tok", "node", "n", "late", "low", "near"]
-    met = met.where("near is null or size(near) > 0").select(*shown)
-    folded = rows.where("tok is null").select("tok", "node", "n", "late", "low", F.lit(None).cast("array<struct<node:bigint,n:bigint>>").alias("near"))
+    met = met.where("near is null and node <> low or size(near) > 0").select("node", "n", "low", "near")
+    folded = rows.where("tok is null").select("node", "n", "low", F.lit(None).cast("array<struct<node:bigint,n:bigint>>").alias("near"))
     return common.stored(met.unionByName(folded), "prefixes")
 
 
 def _edges(met: DataFrame, measure: Measure) -> DataFrame:
-    """(a, b): classes that share ``support`` shingles of up to PAIRED documents in their prefixes, or a common one after all others."""
-    stars = met.where("near is null and late and node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    """(a, b): classes that share ``support`` shingles of up to PAIRED documents in their prefixes, or one of more."""
+    stars = met.where("near is null and node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     pairs = met.where("near is not null").select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode("near").alias("o"))
     small, large = F.least("na", "o.n"), F.greatest("na", "o.n")
     pairs = pairs.where((F.col("a") != F.col("o.node")) & (small * 100 >= large * measure.percent))
@@ -323,46 +318,29 @@ def _edges(met: DataFrame, measure: Measure) -> DataFrame:
     return stars.unionByName(pairs)
 
 
-def candidate_edges(docs: DataFrame, every: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFrame:
+def _sorted_hashes(toks: DataFrame) -> np.ndarray:
+    found = toks.select("tok").toArrow()["tok"].combine_chunks()
+    return np.unique(np.asarray(found, np.int64).view(np.uint64))
+
+
+def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFrame:
     """(a, b): class hashes f1 of sets that may link.
 
     If two sets overlap by t, their first n - t + s shingles in any common order share s or more. So
     a pair that shares fewer is no candidate. Shingles of up to PAIRED documents count the pairs of
-    these. A common one moves to the end of the order: the sets that had it in their prefix are cut
-    anew, by a join with the table of all common shingles. It joins its documents by a star only
-    where a prefix has nothing else left, as among near copies, so that no group's pairs are listed.
-    ``frequent``: sorted shingles that are at the end of the order from the beginning.
+    these; one of more documents joins them all by a star, whatever they share besides, so that no
+    group's pairs are listed. ``frequent`` are sorted shingles that come last in the order of rarity.
     """
-    first = met = _met(_shingled(docs, frequent, measure, False))
-    late = moved = None
-    while True:
-        hubs = common.stored(met.where("near is null and not late").select("tok", "node").distinct(), "hubs")
-        if hubs.isEmpty():
-            return _edges(first, measure) if met is first else _edges(first, measure).unionByName(_edges(met, measure))
-        late = common.stored(hubs.select("tok").distinct() if late is None else late.unionByName(hubs.select("tok")).distinct(), "late")
-        moved = common.stored(hubs.select("node").distinct() if moved is None else moved.unionByName(hubs.select("node")).distinct(), "moved")
-        # One document of each set that moves is read again, whole.
-        chosen = every.join(moved.select(F.col("node").alias("f1")), "f1", "left_semi").groupBy("f1").agg(F.min("doc_id").alias("doc_id"))
-        texts = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-        sets = _shingled(texts, frequent, measure, True).join(moved, "node", "left_semi").groupBy("node", "tok").agg(F.min("n").alias("n"), F.max("late").alias("late"))
-        sets = sets.join(late.withColumn("known", F.lit(True)), "tok", "left").withColumn("late", F.col("late") | F.col("known").isNotNull())
-        # Hashes are in order as unsigned numbers, as in the tasks.
-        nth = F.row_number().over(W.partitionBy("node").orderBy("late", F.col("tok") < 0, "tok"))
-        upto = F.col("n") - F.ceil(F.col("n") * measure.percent / 100) + F.floor(F.col("n") / SUPPORT) + 1
-        again = sets.withColumn("nth", nth).where(F.col("nth") <= upto)
-        again = common.stored(again.select("tok", "node", "n", "late", F.lit(None).cast("long").alias("low"), F.lit(False).alias("hot")), "again")
-        others = _shingled(docs, frequent, measure, False).where("tok is not null").join(moved, "node", "left_anti")
-        others = others.join(again.select("tok").distinct(), "tok", "left_semi")
-        met = _met(again.unionByName(others.select(*again.columns)))
+    return _edges(_met(_shingled(docs, frequent, measure)), measure)
 
 
 def _placed(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Every document's class; the classes by their least doc_id; those in clusters, with their chunk c of ``chunks``; the documents' texts."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every, counted = classes(rows, measure)
-    top = counted.where(F.col("docs") >= FREQUENT).orderBy(F.desc("docs"), "tok").limit(MOST_FREQUENT).select("tok").toArrow()
-    frequent = np.sort(np.asarray(top["tok"].combine_chunks(), np.int64).view(np.uint64))
-    clusters = components(candidate_edges(rows, every, frequent, measure))
+    top = counted.where(F.col("docs") >= FREQUENT).orderBy(F.desc("docs"), "tok").limit(MOST_FREQUENT)
+    frequent = _sorted_hashes(top)
+    clusters = components(candidate_edges(rows, frequent, measure))
     reps = every.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     reps = common.stored(reps, "reps")
     members = reps.join(clusters.select(F.col("node").alias("f1"), F.col("label").alias("cluster")), "f1").select("f1", "f2", "rep", "n", "cluster")
