@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.functions.running import STEP, carried, totals_before
+
 # Attributes that are taken from a record's top level, and names of levels.
 PROMOTED = ("service", "host", "trace_id")
 LEVEL_NAMES = {"warn": "WARN", "warning": "WARN", "error": "ERROR", "err": "ERROR"}
@@ -52,30 +54,36 @@ def normalised(rows: DataFrame, record: str = "record", agent_id: str = "") -> D
 def limited(rows: DataFrame, batch: str, order: str, text: str, most_message: int, most_buffer: int) -> DataFrame:
     """``rows`` with decision: accept, message_too_large, or buffer_too_large where the batch's bytes up to here are too many."""
     size = F.octet_length(text)
-    upto = F.sum(size).over(W.partitionBy(batch).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    decision = F.when(size > most_message, "message_too_large").when(upto > most_buffer, "buffer_too_large").otherwise("accept")
-    return rows.withColumn("decision", decision)
+    rows = totals_before(rows, batch, order, "_upto", size)
+    decision = F.when(size > most_message, "message_too_large").when(F.col("_upto") + size > most_buffer, "buffer_too_large").otherwise("accept")
+    return rows.withColumn("decision", decision).drop("_upto")
 
 
 def line_offsets(rows: DataFrame, source: str, order: str, text: str) -> DataFrame:
     """``rows`` with source_offset: where each line begins in its source."""
-    before = F.sum(F.octet_length(text) + 1).over(W.partitionBy(source).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("source_offset", F.coalesce(before, F.lit(0)).cast("long"))
+    return totals_before(rows, source, order, "source_offset", F.octet_length(text) + 1)
 
 
-def multiline(rows: DataFrame, batch: str, order: str, text: str, starts: str, most_lines: int) -> DataFrame:
+def multiline(rows: DataFrame, batch: str, order: str, text: str, starts: str, most_lines: int, step: int = STEP) -> DataFrame:
     """batch, first (order of its first line), record: lines merged until the next that begins with ``starts``.
 
     An empty pattern starts a record at every line. A record of ``most_lines`` lines ends there and
-    the next line begins another, so long runs are cut by position.
+    the next line begins another, so long runs are cut by position. Positions are counted in ranges of
+    ``step`` of the order column and shifted by the ranges before.
     """
     line = F.col(text)
     begins = F.lit(True) if starts == "" else line.startswith(starts)
-    upto = W.partitionBy(batch).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_g", F.sum(F.when(begins, 1).otherwise(0)).over(upto))
-    nth = F.row_number().over(W.partitionBy(batch, "_g").orderBy(order)) - 1
-    rows = rows.withColumn("_part", F.floor(nth / most_lines))
-    merged = rows.groupBy(batch, "_g", "_part").agg(
+    own = W.partitionBy(batch, "_range").orderBy(order)
+    local = rows.withColumn("_range", F.floor(F.col(order) / step)).withColumn("_at", F.row_number().over(own) - 1)
+    local = local.withColumn("_start", F.max(F.when(begins, F.col("_at"))).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    before = W.partitionBy(batch).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    bases = local.groupBy(batch, "_range").agg(F.count("*").alias("_n"), F.max("_start").alias("_last"))
+    bases = bases.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    bases = bases.withColumn("_open", F.max(F.col("_base") + F.col("_last")).over(before)).drop("_n", "_last")
+    placed = carried(local, bases, [batch, "_range"])
+    placed = placed.withColumn("_start", F.coalesce(F.col("_base") + F.col("_start"), "_open", F.lit(0)))
+    placed = placed.withColumn("_part", F.floor((F.col("_base") + F.col("_at") - F.col("_start")) / most_lines))
+    merged = placed.groupBy(batch, "_start", "_part").agg(
         F.min(order).alias("first"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("t")))).alias("_l")
     )
     return merged.select(batch, "first", F.array_join(F.col("_l.t"), "\n").alias("record"))

@@ -96,6 +96,9 @@ _ENVELOPE = (
     " || CASE WHEN user_id % 3 = 0 THEN ',\"source_offset\":' || event_id ELSE '' END"
     " || CASE WHEN user_id % 5 = 0 THEN ',\"attributes\":{\"host\":\"' || event_type || '\",\"zone\":\"b\"}' ELSE '' END || '}'"
 )
+_MEASURED = """m AS (SELECT l_returnflag AS scenario, l_linestatus AS target, l_linenumber * 64 AS payload, l_quantity AS submit_us, l_quantity * 3 AS p95_us, l_quantity * 8 AS p99_us,
+  CASE WHEN l_suppkey % 7 = 0 OR floor(l_extendedprice) = 0 THEN 0 ELSE l_partkey * 1000000.0::DOUBLE / floor(l_extendedprice) END AS throughput FROM lineitem)"""
+_PROFILE = "count(*) AS runs, round(avg(throughput), 2) AS throughput, round(avg(submit_us), 4) AS submit_us, round(avg(p95_us), 4) AS p95_us, round(avg(p99_us), 4) AS p99_us"
 _RUNS = "runs AS (SELECT l_linenumber AS shards, l_returnflag AS scenario, l_quantity AS throughput FROM lineitem)"
 
 ORACLES: dict[str, str] = {
@@ -210,4 +213,25 @@ SELECT method, min(us) AS least, max(us) AS most, round(avg(us), 6) AS average,
   any_value(x[CAST(floor(0.99::DOUBLE * (len(x) - 1)) AS BIGINT) + 1]) AS p99 FROM o JOIN l USING (method) GROUP BY method""",
     "header_filter": """SELECT p_partkey, 'X-Part: ' || p_name AS line FROM part WHERE p_partkey % 3 = 1
 UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 2 AND regexp_matches(p_name, '^[A-Za-z0-9-]+:')""",
+    "regression_report": f"WITH {_MEASURED} SELECT scenario, target, {_PROFILE} FROM m GROUP BY ALL",
+    "profile_report": f"WITH {_MEASURED} SELECT scenario, target, payload, {_PROFILE} FROM m GROUP BY ALL",
+    "soak_report": f"""WITH {_MEASURED} SELECT {_PROFILE}, round(min(throughput), 2) AS least_throughput, round(max(throughput), 2) AS most_throughput,
+  round(max(p99_us), 4) AS worst_p99_us FROM m""",
+    "scanner_report": """WITH s AS (SELECT user_id % 40 AS run, CASE WHEN user_id % 40 % 3 = 0 THEN 1099511627776 ELSE 700 END AS messages, event_id + 40 AS at_ms,
+  event_id AS committed, event_id - user_id % 9 AS sent, CAST(floor(value) AS BIGINT) AS backlog, user_id % 17 - 4 AS queue_batches, event_id % 5 AS active_workers FROM events),
+e AS (SELECT *, min(at_ms) FILTER (committed >= messages AND sent >= messages) OVER (PARTITION BY run) AS done, max(at_ms) OVER (PARTITION BY run) AS last FROM s)
+SELECT run, CAST(any_value(coalesce(done, last)) - run AS BIGINT) AS elapsed_ms, greatest(max(backlog), 0) AS peak_backlog, greatest(max(queue_batches), 0) AS peak_queue_batches,
+  max(active_workers) AS peak_active_workers, CASE WHEN any_value(done) IS NULL THEN 'timeout' ELSE 'completed' END AS status,
+  round(any_value(messages) * 1000.0::DOUBLE / (any_value(coalesce(done, last)) - run), 2) AS throughput
+FROM e WHERE done IS NULL OR at_ms <= done GROUP BY run""",
+    "queue_depths": """WITH d AS (SELECT user_id % 4 AS queue, sum(CASE WHEN event_type = 'view' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS depth FROM events)
+SELECT queue, CAST(greatest(max(depth), 0) AS BIGINT) AS most FROM d GROUP BY queue""",
+    "sequence_only": f"{_WITH} SELECT shard, sequence AS written, CASE WHEN sequence % 5 <> 0 AND sequence % 7 <> 0 THEN sequence END AS sequence FROM rec",
+    "level_names": "SELECT event_id, CASE user_id % 5 WHEN 0 THEN 'INFO' WHEN 1 THEN 'WARN' WHEN 2 THEN 'ERROR' ELSE 'UNKNOWN' END AS level FROM events",
+    "aligned_sizes": """WITH s AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+w AS (SELECT *, CAST(CASE WHEN page_id % 4 = 0 THEN size ELSE (size + 4095) // 4096 * 4096 END AS BIGINT) AS written FROM s)
+SELECT page_id, written, written - size AS padding FROM w""",
 }
+
+ORACLES["verify_totals"] = f"""SELECT count(*) AS segments, CAST(sum(valid_records) AS BIGINT) AS valid_records, CAST(sum(valid_size) AS BIGINT) AS valid_size
+FROM ({ORACLES['verify_prefix']}) v"""

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidelog.config import EngineConfig
 from tidelog.functions import text as tx
-from tidelog.functions.codec import RecordFormat, decoded, encoded, sanitised, timestamp_text
+from tidelog.functions.codec import RecordFormat, decoded, encoded, level_name, sanitised, sequence_of, timestamp_text
 from tidelog.functions.hashing import crc_hex, fnv1a64, unsigned
-from tidelog.operators import delivery, ingest, routing, rules
+from tidelog.operators import delivery, ingest, reports, routing, rules
 from tidelog.plans.records import ReadQuery, matching, read_records
 from tidelog.sources import maintenance, recovery
 from tidelog.sources import segments as seg
@@ -391,9 +391,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaling_efficiency(spark, sf_dir):
-    by = _runs(spark, sf_dir).groupBy("scenario", "shards").agg(F.avg("throughput").alias("t"))
-    one = by.where("shards = 1").select("scenario", F.col("t").alias("t1"))
-    return by.join(one, "scenario").select("scenario", "shards", F.round(F.col("t") / (F.col("shards") * F.col("t1")), 9).alias("efficiency"))
+    return reports.efficiency(_runs(spark, sf_dir))
 
 
 def benchmark_rollup(spark, sf_dir):
@@ -402,6 +400,68 @@ def benchmark_rollup(spark, sf_dir):
     )
 
 
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a benchmark made of lineitem: some took no time at all."""
+    elapsed = F.when(F.col("l_suppkey") % 7 == 0, 0).otherwise(F.floor("l_extendedprice")).cast("long")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("scenario"), F.col("l_linestatus").alias("target"), (F.col("l_linenumber") * 64).alias("payload"),
+        reports.throughput(F.col("l_partkey"), elapsed).alias("throughput"), F.col("l_quantity").alias("submit_us"),
+        (F.col("l_quantity") * 3).alias("p95_us"), (F.col("l_quantity") * 8).alias("p99_us"),
+    )
+
+
+def regression_report(spark, sf_dir):
+    return reports.profile(_measured(spark, sf_dir), ["scenario", "target"])
+
+
+def profile_report(spark, sf_dir):
+    return reports.profile(_measured(spark, sf_dir), ["scenario", "target", "payload"])
+
+
+def soak_report(spark, sf_dir):
+    return reports.soak(_measured(spark, sf_dir))
+
+
+def scanner_report(spark, sf_dir):
+    """Snapshots of runs made of events; every third run never gets its messages through."""
+    u, n = F.col("user_id"), F.col("event_id")
+    run = u % 40
+    snapshots = table(spark, sf_dir, "events").select(
+        run.alias("run"), F.when(run % 3 == 0, 1 << 40).otherwise(700).alias("messages"), run.alias("started_ms"), (n + 40).alias("at_ms"), n.alias("committed"),
+        (n - u % 9).alias("sent"), F.floor("value").cast("long").alias("backlog"), (u % 17 - 4).alias("queue_batches"), (n % 5).alias("active_workers"),
+    )
+    return reports.scanner(snapshots)
+
+
+def queue_depths(spark, sf_dir):
+    """Most that waited in each of four queues: views are taken out, all else is put in."""
+    change = F.when(F.col("event_type") == "view", -1).otherwise(1)
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("queue"), "event_id", change.alias("change"))
+    return reports.queue_peaks(e, "queue", "event_id", "change")
+
+
+def verify_totals(spark, sf_dir):
+    return recovery.totals(verify_prefix(spark, sf_dir))
+
+
+def sequence_only(spark, sf_dir):
+    """Sequence numbers taken from lines alone; those of every fifth line are unreadable, of every seventh missing."""
+    rows = encode_header_crc(spark, sf_dir)
+    line = F.when(F.col("sequence") % 5 == 0, F.replace("line", F.lit("\tseq="), F.lit("\tseq=x"))).when(F.col("sequence") % 7 == 0, F.regexp_replace("line", "\tseq=[0-9]+", "")).otherwise(F.col("line"))
+    return rows.select("shard", F.col("sequence").alias("written"), sequence_of(line).alias("sequence"))
+
+
+def level_names(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", level_name(F.col("user_id") % 5).alias("level"))
+
+
+def aligned_sizes(spark, sf_dir):
+    """Sizes of pages as written in blocks, and how much of each block's end is padding."""
+    size, block = F.octet_length(F.coalesce("html", F.lit(""))).cast("long"), F.when(F.col("page_id") % 4 == 0, 0).otherwise(4096).cast("long")
+    pages = table(spark, sf_dir, "pages").select("page_id", size.alias("size"), writer.aligned(size, block).alias("written"))
+    return pages.select("page_id", "written", (F.col("written") - F.col("size")).alias("padding"))
+
+
 def writer_metrics(spark, sf_dir):
     return encode_full_crc(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("submitted_messages"), F.sum(F.octet_length("line") + 1).cast("long").alias("submitted_bytes"))
 
@@ -473,6 +533,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         object_manifest, dedupe_delivery, envelope_render, envelope_decode, ingest_normalize, multiline_merge, source_limits,
         source_offset_running, health_window, health_status, backpressure_decision, ewma_latency, percentile_nearest_rank, rate_alerts,
         pause_durations, scaling_efficiency, benchmark_rollup, writer_metrics, url_endpoints, set_operations,
-        alert_rules, quota_decisions, directory_sizes, query_jitter, header_filter,
+        alert_rules, quota_decisions, directory_sizes, query_jitter, header_filter, regression_report, profile_report, soak_report,
+        scanner_report, queue_depths, verify_totals, sequence_only, level_names, aligned_sizes,
     )
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.config import EngineConfig
 from tidelog.functions.codec import encoded
+from tidelog.functions.running import totals_before
 
 
 #: Rows of the order column's range that are ranked together.
@@ -40,9 +41,13 @@ def encoded_lines(rows: DataFrame, config: EngineConfig) -> DataFrame:
 
 def rotation(lines: DataFrame, rotate_bytes: int) -> DataFrame:
     """``lines`` with rotation_index: a new file of the shard begins each time ``rotate_bytes`` have been written before."""
-    upto = W.partitionBy("shard").orderBy("sequence").rowsBetween(W.unboundedPreceding, -1)
-    written = F.coalesce(F.sum(F.octet_length("line") + 1).over(upto), F.lit(0))
-    return lines.withColumn("rotation_index", F.floor(written / rotate_bytes).cast("long"))
+    lines = totals_before(lines, "shard", "sequence", "_written", F.octet_length("line") + 1)
+    return lines.withColumn("rotation_index", F.floor(F.col("_written") / rotate_bytes).cast("long")).drop("_written")
+
+
+def aligned(size: Column, alignment: Column) -> Column:
+    """``size`` up to the next multiple of ``alignment``; as it is where that is 0."""
+    return F.when(alignment == 0, size).otherwise(size + F.pmod(-size, F.nullif(alignment, F.lit(0))))
 
 
 def write_active(lines: DataFrame, log_dir: str, prefix: str) -> None:
