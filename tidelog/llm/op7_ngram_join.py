@@ -3,9 +3,10 @@
 1. Every text becomes its set of word shingles, as 64-bit hashes. Documents of equal sets are one
    class, named by its least doc_id.
 2. A pair that links shares some of the rarest shingles of both sets (the prefix filter); pairs that
-   do are put into one candidate cluster. Frequent shingles come last in the order of rarity. Which
-   ones are frequent is counted in the tasks and changes only what is tried, never what is found; but
-   the list is bounded, and the more common shingles it lacks, the larger the clusters.
+   do are put into one candidate cluster. Frequent shingles come last, by their number of documents,
+   which is counted over the whole corpus in slots that shingles share by hash, so a group that no batch
+   shows is known too. It changes only what is tried, never what is found; but the list is bounded, and
+   the more shingles of more than PAIRED documents it lacks, the larger the clusters.
 3. Clusters are solved apart: inverted lists of the cluster's sets, the short ones merged (by counting
    places instead of a heap, as a list's entries are array elements), the long ones probed by binary
    search (DivideSkip), documents kept that reach the required overlap. A cluster too large for a task
@@ -38,10 +39,12 @@ from tidelog.llm import common
 from tidelog.llm.components import components
 
 BATCH_BYTES = 4 << 20
-#: Shingles at most that count as frequent, those of the highest counts: their order is sent to tasks.
-MOST_FREQUENT = 1 << 19
-FREQUENT = 2
-FREQUENT_IN_BATCH = 2
+#: Slots at most that count as frequent, about, those of the highest counts: their order is sent to tasks.
+MOST_FREQUENT = 1 << 22
+FREQUENT = 8
+#: Shingles are counted by their first bits, in ranges of so many slots.
+SLOT_BITS = 29
+RANGE_BITS = 20
 #: One more shared shingle is asked of two prefixes for every so many of the smaller set.
 SUPPORT = 20
 #: Documents up to which a shingle names every pair of its documents; beyond, a star.
@@ -208,28 +211,79 @@ def pairs(sets: list[np.ndarray], measure: Measure) -> tuple[np.ndarray, np.ndar
     return np.minimum(a, b), np.maximum(a, b), shared
 
 
+def _slots(flat: np.ndarray) -> np.ndarray:
+    return (flat >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+
+
+def _packed(slots: np.ndarray, docs: np.ndarray) -> bytes:
+    """Ascending slots and their documents, compressed: steps from slot to slot, like bytes together."""
+    both = np.concatenate([np.diff(slots, prepend=slots[:1] * 0), docs]).astype("<u4")
+    return pa.Codec("zstd", compression_level=1).compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(pa.Codec("zstd").decompress(data, 8 * n, asbytes=True), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.cumsum(both[:n], dtype=np.uint32), both[n:]
+
+
 def classes(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, f1, f2) of every document, equal where the sets are; (tok, docs) of shingles frequent in tasks."""
+    """(doc_id, n, f1, f2) of every document, equal where the sets are; (slot, docs) of slots that FREQUENT documents or more have."""
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n", "f1", "f2", "part", "slots", "counts"]
         for rows in common.batches(stream, BATCH_BYTES):
             flat, ends = shingle_sets(common.strings(rows["text"]), measure)
             f1, f2 = _sums(mixed(flat, 1), ends), _sums(mixed(flat, 2), ends)
-            none = pa.nulls(rows.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [rows["doc_id"].combine_chunks(), pa.array(np.diff(ends)), pa.array(f1), pa.array(f2), none, none],
-                ["doc_id", "n", "f1", "f2", "tok", "docs"],
-            )
-            tok, docs_of = np.unique(flat, return_counts=True)
-            often = docs_of >= FREQUENT_IN_BATCH
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(tok[often].view(np.int64)), pa.array(docs_of[often])],
-                ["doc_id", "n", "f1", "f2", "tok", "docs"],
-            )
-
-    both = common.stored(common.mapped(docs, scan, "doc_id long, n long, f1 long, f2 long, tok long, docs long"), "classes")
-    return both.where("doc_id is not null").drop("tok", "docs"), both.where("tok is not null").groupBy("tok").agg(F.sum("docs").alias("docs"))
+            none = [pa.nulls(rows.num_rows, t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks(), pa.array(np.diff(ends)), pa.array(f1), pa.array(f2), *none], names)
+            slot, docs_of = np.unique(_slots(flat), return_counts=True)
+            part, first = np.unique(slot >> RANGE_BITS, return_index=True)
+            after = np.append(first[1:], len(slot))
+            counts = [_packed(slot[a:b] & ((1 << RANGE_BITS) - 1), docs_of[a:b]) for a, b in zip(first.tolist(), after.tolist())]
+            none = [pa.nulls(len(part), pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, pa.array(part, pa.int32()), pa.array(after - first, pa.int32()), pa.array(counts, pa.binary())], names)
+
+    def count(group: pa.Table) -> pa.Table:
+        total = np.zeros(1 << RANGE_BITS, np.int64)
+        for n, data in zip(group["slots"].to_pylist(), group["counts"]):
+            slot, docs_of = _unpacked(data.as_py(), n)
+            total[slot] += docs_of
+        often = np.flatnonzero(total >= FREQUENT)
+        return pa.table({"slot": pa.array(often + (group["part"][0].as_py() << RANGE_BITS), pa.int32()), "docs": pa.array(total[often])})
+
+    shape = "doc_id long, n long, f1 long, f2 long, part int, slots int, counts binary"
+    both = common.stored(common.mapped(docs, scan, shape), "classes")
+    counted = both.where("part is not null").select("part", "slots", "counts").groupBy("part").applyInArrow(common.lean(count), "slot int, docs long")
+    return both.where("doc_id is not null").select("doc_id", "n", "f1", "f2"), common.stored(counted, "counted")
+
+
+def frequent_slots(counted: DataFrame) -> tuple[bytes, int]:
+    """The slots of the most documents, with their documents, as _packed() makes them, and their number."""
+    found = counted.groupBy("docs").count().toArrow()
+    docs, slots = np.asarray(found["docs"], np.int64), np.asarray(found["count"], np.int64)
+    order = np.argsort(-docs)
+    docs, upto = docs[order], np.cumsum(slots[order])
+    whole = int(np.searchsorted(upto, MOST_FREQUENT, "right"))
+    least = int(docs[whole - 1]) if whole else 2**62
+    chosen = F.col("docs") >= least
+    if whole < len(docs):
+        # Of the first number of documents that doesn't fit whole, a share: slots are hashes.
+        had = int(upto[whole - 1]) if whole else 0
+        share = (MOST_FREQUENT - had) / (int(upto[whole]) - had)
+        chosen |= (F.col("docs") == int(docs[whole])) & (F.col("slot") < int(share * (1 << SLOT_BITS)))
+    top = counted.where(chosen).select("slot", F.least("docs", F.lit(2**31 - 1)).cast("int").alias("docs")).toArrow()
+    slot, docs = np.asarray(top["slot"], np.int64), np.asarray(top["docs"], np.int64)
+    order = np.argsort(slot)
+    return _packed(slot[order], docs[order]), len(slot)
+
+
+def _lateness(flat: np.ndarray, slots: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """How late each shingle comes in the order of rarity: 0 to 255, 0 for those that aren't frequent."""
+    if not len(slots):
+        return np.zeros(len(flat), np.int64)
+    own = _slots(flat)
+    at = np.minimum(np.searchsorted(slots, own), len(slots) - 1)
+    return np.where(slots[at] == own, level[at], 0)
 
 
 def _fingerprinted(rows: DataFrame, keep: str, measure: Measure) -> DataFrame:
@@ -247,7 +301,7 @@ def _fingerprinted(rows: DataFrame, keep: str, measure: Measure) -> DataFrame:
     return common.mapped(rows, scan, T.StructType(fields))
 
 
-def _shingled(docs: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFrame:
+def _shingled(docs: DataFrame, frequent: tuple[bytes, int], measure: Measure) -> DataFrame:
     """tok, node (class hash f1), n, low of the prefixes of the documents.
 
     Where more than PAIRED documents of a batch have a shingle in their prefixes, only the least of
@@ -255,6 +309,8 @@ def _shingled(docs: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFr
     """
 
     def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, docs_of = _unpacked(*frequent)
+        level = np.minimum(255, 8 * np.log2(np.maximum(docs_of, 2))).astype(np.int64)
         for rows in common.batches(stream, BATCH_BYTES):
             flat, ends = shingle_sets(common.strings(rows["text"]), measure)
             if not len(flat):
@@ -262,11 +318,8 @@ def _shingled(docs: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFr
             f1 = _sums(mixed(flat, 1), ends)
             n = np.diff(ends)
             doc = np.repeat(np.arange(len(n)), n)
-            if len(frequent):
-                late = frequent[np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)] == flat
-                # Sets are sorted, so the stable order by (document, late) keeps each part sorted.
-                order = np.argsort(doc * 2 + late, kind="stable")
-                flat = flat[order]
+            # Sets are sorted, so the stable order by (document, lateness) keeps each part sorted.
+            flat = flat[np.argsort(doc * 256 + _lateness(flat, slots, level), kind="stable")]
             nth = np.arange(len(flat)) - np.repeat(ends[:-1], n)
             keep = nth < np.repeat(measure.prefix(n), n)
             flat, doc = flat[keep], doc[keep]
@@ -318,18 +371,13 @@ def _edges(met: DataFrame, measure: Measure) -> DataFrame:
     return stars.unionByName(pairs)
 
 
-def _sorted_hashes(toks: DataFrame) -> np.ndarray:
-    found = toks.select("tok").toArrow()["tok"].combine_chunks()
-    return np.unique(np.asarray(found, np.int64).view(np.uint64))
-
-
-def candidate_edges(docs: DataFrame, frequent: np.ndarray, measure: Measure) -> DataFrame:
+def candidate_edges(docs: DataFrame, frequent: tuple[bytes, int], measure: Measure) -> DataFrame:
     """(a, b): class hashes f1 of sets that may link.
 
     If two sets overlap by t, their first n - t + s shingles in any common order share s or more. So
     a pair that shares fewer is no candidate. Shingles of up to PAIRED documents count the pairs of
     these; one of more documents joins them all by a star, whatever they share besides, so that no
-    group's pairs are listed. ``frequent`` are sorted shingles that come last in the order of rarity.
+    group's pairs are listed. ``frequent``, of frequent_slots(): these come last in the order of rarity.
     """
     return _edges(_met(_shingled(docs, frequent, measure)), measure)
 
@@ -338,9 +386,7 @@ def _placed(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, Da
     """Every document's class; the classes by their least doc_id; those in clusters, with their chunk c of ``chunks``; the documents' texts."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every, counted = classes(rows, measure)
-    top = counted.where(F.col("docs") >= FREQUENT).orderBy(F.desc("docs"), "tok").limit(MOST_FREQUENT)
-    frequent = _sorted_hashes(top)
-    clusters = components(candidate_edges(rows, frequent, measure))
+    clusters = components(candidate_edges(rows, frequent_slots(counted), measure))
     reps = every.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     reps = common.stored(reps, "reps")
     members = reps.join(clusters.select(F.col("node").alias("f1"), F.col("label").alias("cluster")), "f1").select("f1", "f2", "rep", "n", "cluster")
