@@ -126,20 +126,36 @@ def test_common_shingles_make_no_links(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in op7_ngram_join.near_duplicates(frame).collect()} == want
 
 
-def test_shingles_common_to_the_corpus_only_make_no_cluster(spark):
-    """Passages of many documents, one of them in a batch, are known to be frequent: no batch shows it."""
+def common_passages(spark):
+    """Documents, one in a batch, that share passages with many others; the last three are near copies of the first three."""
     passages = [[f"p{k}w{i}" for i in range(30)] for k in range(4)]
     rows = [(i, " ".join([f"d{i}v{k}" for k in range(90)] + passages[i % 4] + passages[(i + 1) % 4])) for i in range(80)]
     rows += [(80 + i, rows[i][1].replace(f"d{i}v50", "changed")) for i in range(3)]
-    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    return rows, spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+
+
+def cluster_sizes(frame, measure):
+    _, _, placed, _ = op7_ngram_join._placed(frame, measure)
+    return sorted(r["count"] for r in placed.groupBy("cluster").count().collect())
+
+
+def test_shingles_common_to_the_corpus_only_make_no_cluster(spark):
+    """Shingles of many documents are known to be frequent though no batch shows it."""
+    rows, frame = common_passages(spark)
     measure = op7_ngram_join.Measure()
-    every, _, placed, _ = op7_ngram_join._placed(frame, measure)
-    assert every.count() == len(rows)
-    assert sorted(r["count"] for r in placed.groupBy("cluster").count().collect()) == [2, 2, 2]
+    assert cluster_sizes(frame, measure) == [2, 2, 2]
     want, _ = brute.components(dict(rows), 4, 85)
     assert {r["doc_id"]: r["component_id"] for r in op7_ngram_join.near_duplicates(frame, measure).collect()} == want
 
 
+def test_pipeline_stage_on_common_passages(spark):
+    import corpus_pipeline
+
+    _, frame = common_passages(spark)
+    assert cluster_sizes(frame, op7_ngram_join.Measure(corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILAR_PERCENT)) == [2, 2, 2]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()) == list(range(80))
+
+
 def test_repeated_queries_and_cells(spark, monkeypatch):
     from pyspark.sql import functions as F
 
