@@ -7,6 +7,7 @@ import zlib
 
 import brute
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidelog.llm import op5_language, op6_licenses, op7_ngram_join
 
@@ -156,6 +157,39 @@ def test_pipeline_stage_on_common_passages(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()) == list(range(80))
 
 
+def test_pipeline_stage_deals_out_few_texts(spark, monkeypatch):
+    """Texts that nothing resembles stay where they are read; only those that may be copies move."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(rng.bytes(256).hex() for _ in range(60)), i) for i in range(500)]
+    rows += [(500 + i, rows[i][1].replace(" ", " a ", 1), i) for i in range(10)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string, word long")
+    inside = spark.sparkContext._jsc.sc()
+
+    def written():
+        inside.listenerBus().waitUntilEmpty(10_000)
+        return sum(inside.statusStore().executorList(True).apply(k).totalShuffleWrite() for k in range(inside.statusStore().executorList(True).size()))
+
+    # Tables of ids count as too large to be sent to every task, as those of a large corpus are.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = written()
+        left = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert left.columns == docs.columns
+        assert sorted(tuple(r) for r in left.collect()) == rows[:500]
+        assert written() - began < sum(len(t) for _, t, _ in rows)
+        # A filter so full that it tells nothing apart changes no row, whether few documents go or few stay.
+        monkeypatch.setattr(op7_ngram_join, "FILTER_WORDS", 1)
+        few = docs.where("doc_id < 10 or doc_id >= 500")
+        for some, want in ((few, 10), (few.withColumn("doc_id", F.col("doc_id").cast("int")), 10), (few.unionByName(few.withColumn("doc_id", F.col("doc_id") + 5000)), 10)):
+            got = corpus_pipeline.near_duplicates(spark, some, "")
+            assert got.schema == some.schema and sorted(tuple(r) for r in got.collect()) == rows[:want]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_repeated_queries_and_cells(spark, monkeypatch):
     from pyspark.sql import functions as F
 

@@ -52,6 +52,8 @@ PAIRED = 32
 #: Sets and shingles of a chunk at most, about.
 CHUNK_SETS = 2048
 CHUNK_SHINGLES = 1_000_000
+#: Words of 64 bits, at most, of the filter that spares rows a join: it is sent to tasks.
+FILTER_WORDS = 1 << 19
 #: A binary probe costs about this many steps of a merge.
 _PROBE_COST = 32
 
@@ -395,17 +397,36 @@ def _placed(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame, Da
     sizes = common.stored(sizes.select("cluster", _chunks("sets", "shingles").alias("chunks")), "sizes")
     place = F.pmod(F.xxhash64("f1", "f2"), "chunks").cast("int").alias("c")
     placed = members.join(sizes, "cluster").select("f1", "f2", F.col("rep").alias("doc_id"), "n", "cluster", "chunks", place)
-    return every, reps, placed, rows
+    return every, reps, common.stored(placed, "placed"), rows
 
 
 def _chunks(sets: str, shingles: str):
     return F.greatest(F.ceil(F.col(sets) / CHUNK_SETS), F.ceil(F.col(shingles) / CHUNK_SHINGLES)).cast("int")
 
 
+def _perhaps(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The ``rows`` whose doc_id may be one of ``ids``, all that are and few others; with left_anti the others, none of which is.
+
+    A Bloom filter of four bits in one word for each id, so that rows are told apart where they are read and their texts not dealt out.
+    """
+    key = lambda c: c.cast("long")
+    word = lambda c: F.pmod(F.xxhash64(key(c)), F.lit(FILTER_WORDS))
+
+    def bits(c):
+        h, one = F.xxhash64(key(c), F.lit(1)), F.lit(1).cast("long")
+        each = [F.call_function("shiftleft", one, F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(4)]
+        return each[0].bitwiseOR(each[1]).bitwiseOR(each[2]).bitwiseOR(each[3])
+
+    own = F.col("doc_id")
+    words = F.broadcast(ids.groupBy(word(own).alias("word")).agg(F.bit_or(bits(own)).alias("bits")))
+    mine = rows["doc_id"]
+    return rows.join(words, (word(mine) == words["word"]) & (words["bits"].bitwiseAND(bits(mine)) == bits(mine)), how)
+
+
 def _texts(rows: DataFrame, placed: DataFrame, measure: Measure) -> DataFrame:
     """``placed`` with the text of each class."""
-    # A doc_id may have several texts: of its rows, each class takes one whose set is its own.
-    named = rows.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+    # A doc_id may have several texts: of its rows, each class takes one whose set is its own. The join leaves out what the filter let pass.
+    named = _perhaps(rows, placed.select("doc_id"))
     return _fingerprinted(named, "text", measure).dropDuplicates(["doc_id", "f1", "f2"]).drop("n").join(placed, ["doc_id", "f1", "f2"])
 
 
@@ -514,12 +535,23 @@ def one_of_each(docs: DataFrame, measure: Measure) -> DataFrame:
     several = common.stored(every.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
     kept = first.select("doc_id").unionByName(every.where("n = 0").select("doc_id")).join(several, "doc_id", "left_anti")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    shared = docs.join(several, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("row"), F.col("text").cast("string").alias("text"))
+    shared = _perhaps(docs, several).join(several, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("row"), F.col("text").cast("string").alias("text"))
     shared = _fingerprinted(shared, "row", measure)
     nth = F.row_number().over(W.partitionBy("doc_id", "f1", "f2").orderBy("row.text"))
     chosen = shared.where("n > 0").join(first, ["doc_id", "f1", "f2"], "left_semi").withColumn("nth", nth).where("nth = 1")
     chosen = chosen.select("row.*").union(shared.where("n = 0").select("row.*"))
-    return docs.where("doc_id is null").union(docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])).union(chosen)
+    told = every.select("doc_id").distinct().join(kept.distinct().withColumn("kept", F.lit(True)), "doc_id", "left").select("doc_id", F.col("kept").isNotNull().alias("kept"))
+    told = common.stored(told, "told")
+    # Only rows that may have a doc_id of the smaller part, kept or gone, are dealt out to meet it.
+    stays = told.where("kept").select("doc_id")
+    goes = told.where("not kept").select("doc_id")
+    with_id = docs.where("doc_id is not null")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if stays.count() < goes.count():
+        left = _perhaps(with_id, stays).join(stays, "doc_id", "left_semi").select(*columns)
+    else:
+        left = _perhaps(with_id, goes, "left_anti").union(_perhaps(with_id, goes).join(goes, "doc_id", "left_anti").select(*columns))
+    return docs.where("doc_id is null").union(left).union(chosen)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
