@@ -1,15 +1,19 @@
 import gzip
 import json
+import re
 import threading
 import urllib.error
 import urllib.request
+from itertools import takewhile
 
 import pytest
+from duck import SF
 from pyspark.sql import functions as F
 
 from tidelog import config as options
 from tidelog.cli import main, server
 from tidelog.functions.codec import decoded
+from tidelog.plans import queries
 from tidelog.plans.records import ReadQuery, read_records
 from tidelog.plans.status import export_batch
 from tidelog.sources import segments as seg
@@ -159,3 +163,72 @@ def test_config(tmp_path):
         with pytest.raises(ValueError):
             options.EngineConfig(**bad)
     assert ReadQuery.from_params({"limit": "x", "shard": "2"}).limit == 100 and ReadQuery.from_params({"limit": "0"}, True).limit == 100
+
+
+@pytest.fixture
+def written(spark, monkeypatch):
+    """What segments' queries hand to the writer, and the settings that hold then: nothing small enough to be broadcast unasked."""
+    seen = []
+    whole = writer.write_named
+    monkeypatch.setattr(queries.writer, "write_named", lambda lines, *rest: seen.append(lines) or whole(lines, *rest))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield seen
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_no_task_holds_a_shard(spark, written):
+    """Records are not dealt by shard alone on their way into segment files."""
+    queries._segment_files(spark, SF)
+    for lines in written:
+        joins = re.findall(r"SortMergeJoin \[(.*?)\]", lines._jdf.queryExecution().executedPlan().toString())
+        assert joins and not [keys for keys in joins if re.fullmatch(r"shard#\d+", keys)]
+
+
+def test_each_key_is_hashed_once(spark):
+    """No filter hashes the keys of all records before they are distinct."""
+    lines = queries.records(spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for k, x in enumerate(lines):
+        if "Aggregate [route_key" in x:
+            below = takewhile(lambda y: depth(y) > depth(x), lines[k + 1 :])
+            assert not [y for y in below if "lambdafunction" in y]
+
+
+def test_lines_stay_where_prefixes_are_verified(spark, folders):
+    """Sizes of lines are dealt by segment, not the lines."""
+    (folders[0] / "shard-0.log").write_text("seq=0\tpayload=a\n")
+    node = seg.verified_prefix(decoded(seg.lines(spark, [str(folders[0] / "shard-0.log")])))._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().head()
+    dealt = node.children().head().output().mkString(" ")
+    assert "_size#" in dealt and "line#" not in dealt
+
+
+def test_many_files_are_looked_up_by_few_tasks(spark, folders):
+    logs, _ = folders
+    for k in range(80):
+        (logs / f"shard-{k}.log").write_text(f"seq=0\tpayload={k}\n")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    was, tasks = spark.conf.get(key, None), spark.sparkContext.defaultParallelism * 4
+    spark.sparkContext.setJobGroup("many", "many")
+    try:
+        rows = seg.lines(spark, [str(p) for p in logs.glob("*.log")])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= tasks < 80
+    assert spark.conf.get(key, None) == was and rows.count() == 80
+
+
+def test_files_are_written_over(spark, tmp_path):
+    """Names land in their places, over files that are there; a folder of a segment's name is no segment."""
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.1.log").write_text("old\n")
+    rows = spark.createDataFrame([("x.1.log", 1, "two"), ("x.1.log", 0, "one"), ("y.log.gz", 0, "three")], "name string, sequence long, line string")
+    writer.write_named(rows, str(tmp_path), lambda name: f"{'b' if name[0] == 'x' else 'c'}/{name}")
+    assert (tmp_path / "b" / "x.1.log").read_text() == "one\ntwo\n"
+    assert gzip.decompress((tmp_path / "c" / "y.log.gz").read_bytes()) == b"three\n"
+    (tmp_path / "b" / "z.log").mkdir()
+    assert [(r["path"].rsplit("/", 1)[1], r["size"]) for r in seg.listing(spark, str(tmp_path / "b")).collect()] == [("x.1.log", 8)]
